@@ -80,7 +80,7 @@ class PairIndexBpe:
         self.byte_ids = np.array(self.byte_id, dtype=np.int32)
         self.byte_ranks = np.array([[self.merges.get(a << 16 | b, -1) for b in self.byte_id] for a in self.byte_id], dtype=np.int32)
         self.pattern = regex.compile(PATTERN)
-        self.cache: dict[str, bytes] = {}  # parts between spaces
+        self.spaced: dict[str, bytes] = {}  # parts after a space
         self.pieces: dict[str, bytes] = {}  # pre-tokens
         self.long_chars = 0
 
@@ -153,58 +153,68 @@ class PairIndexBpe:
             at = stop + 1
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Put the ids of chunks into the cache."""
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of parts of texts, each encoded by itself."""
         findall, pieces_of = self.pattern.findall, self.pieces
         split = [findall(c) for c in chunks]
         new = list({p for pieces in split for p in pieces if p not in pieces_of})
         if new:
             pieces_of.update(zip(new, self.encode_words([p.encode() for p in new])))
-        self.cache.update(zip(chunks, [pieces_of[p[0]] if len(p) == 1 else b"".join([pieces_of[x] for x in p]) for p in split]))
+        return [pieces_of[p[0]] if len(p) == 1 else b"".join([pieces_of[x] for x in p]) for p in split]
 
     def _cut(self, text: str) -> list[str]:
-        """The parts of a text that can be encoded each by itself.
+        """The parts of a text that can be encoded each by itself; all but the first stand without their leading space.
 
         A pre-token holds a space only as its first character or within a run of white space, so a text may be cut before every
         space that stands before something other than white space.
         """
-        head, *rest = text.split(" ")
+        parts = text.split(" ")
         if _GAP.search(text) is None:
-            out = list(map(" ".__add__, rest))
-            return [head, *out] if head else out
-        out = []
-        for p in rest:
+            return parts
+        out, own = [], parts[0]
+        for p in parts[1:]:
             if p and not p[0].isspace():
-                out.append(head)
-                head = " " + p
+                out.append(own)
+                own = p
             else:
-                head += " " + p
-        out.append(head)
-        return out if out[0] else out[1:]
+                own += " " + p
+        out.append(own)
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, little-endian with four bytes each."""
-        if len(self.cache) + len(self.pieces) > CACHE_ENTRIES or self.long_chars > CACHE_CHARS:
-            self.cache.clear()
+        spaced, special = self.spaced, self.special
+        if len(spaced) + len(self.pieces) > CACHE_ENTRIES or self.long_chars > CACHE_CHARS:
+            spaced.clear()
             self.pieces.clear()
             self.long_chars = 0
-        cut, special = self._cut, self.special
-        parts: list[list[str]] = []
-        for text in texts:
-            own: list[str] = []
-            for piece in self.split.split(text) if self.split is not None and any(s in text for s in special) else [text]:
+        get = spaced.get
+        heads: list[str] = []
+        jobs: list[tuple[int, int, list[str], list[bytes | None]]] = []  # text, its first part's place in heads, the other parts, their ids
+        for k, text in enumerate(texts):
+            for piece in self.split.split(text) if self.split is not None and any(s in text for s in special) else (text,):
                 if piece in special:
-                    own.append("\0" + piece)
+                    jobs.append((k, -1, [], [np.array([special[piece]], dtype="<u4").tobytes()]))
                 elif piece:
-                    own += cut(piece)
-            parts.append(own)
-        cache = self.cache
-        for piece, k in special.items():
-            cache["\0" + piece] = np.array([k], dtype="<u4").tobytes()
-        missing = [p for p in set().union(*parts) if p not in cache]
-        self.long_chars += sum([len(p) for p in missing if len(p) > 64])
-        self._learn(missing)
-        return [b"".join(map(cache.__getitem__, own)) for own in parts]
+                    parts = self._cut(piece)
+                    heads.append(parts.pop(0))
+                    jobs.append((k, len(heads) - 1, parts, list(map(get, parts))))
+        missing: set[str] = set()
+        for _, _, parts, got in jobs:
+            if None in got:
+                missing.update([p for p, ids in zip(parts, got) if ids is None])
+        new = list(missing)
+        fresh = self.ids_of([*heads, *map(" ".__add__, new)])
+        self.long_chars += sum([len(p) for p in new if len(p) > 64])
+        spaced.update(zip(new, fresh[len(heads) :]))
+        found: list[list[bytes]] = [[] for _ in texts]
+        for k, head, parts, got in jobs:
+            if None in got:
+                got = list(map(spaced.__getitem__, parts))
+            if head >= 0:
+                found[k].append(fresh[head])
+            found[k] += got
+        return [b"".join(x) for x in found]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
