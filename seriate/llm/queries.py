@@ -35,12 +35,24 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import near_duplicates
 
@@ -60,8 +72,15 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(found)
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import remove_passages
+
+    out = remove_passages(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2(F.encode("kept", "UTF-8"), 256)).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_suffix_dedup, op3_bpe_round_trip, op5_toxicity, op7_near_duplicates, op8_media_columns, op9_best_fit_packing)
+    found = (op1_token_counts, op2_suffix_dedup, op3_bpe_round_trip, op4_html_text, op5_toxicity, op6_fingerprints, op7_near_duplicates, op8_media_columns, op9_best_fit_packing, op10_passage_dedup)
     return {f.__name__: f for f in found}
 
 
