@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -19,7 +19,7 @@ def _tokenizer(name: str) -> str:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, pieces
 
-    found = pieces(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), ranks=_tokenizer("byte_bpe_50k.tiktoken"))
+    found = pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ranks=tokenizer("byte_bpe_50k.tiktoken"))
     return pack(found)
 
 

@@ -165,14 +165,15 @@ class ToxicityModel:
     def __init__(self, lexicons, trees, calibration, prior: float):
         self.lexicons, self.trees, self.calibration, self.prior = lexicons, trees, calibration, prior
 
-    def score(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(id, score) of every row; a null text counts as empty."""
+    def score(self, df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+        """The kept columns and ``score`` of every row; a null text counts as empty."""
         if self.trees is None:
-            return df.select(id_col, F.lit(self.prior).cast("double").alias("score"))
-        rows = with_features(df, self.lexicons, [id_col], text_col)
+            return df.select(*keep, F.lit(self.prior).cast("double").alias("score"))
+        named = {c: f"_kept{k}" for k, c in enumerate(keep)}  # whatever the kept columns are called, they clash with no feature
+        rows = with_features(df.select(df[text_col].alias("_whole"), *(df[c].alias(n) for c, n in named.items())), self.lexicons, list(named.values()), "_whole")
         raw = self.trees.transform(VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(rows)).withColumn("_raw", vector_to_array("probability")[1])
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_score")))
-        return self.calibration.transform(raw).select(id_col, score.alias("score"))
+        return self.calibration.transform(raw).select(*(F.col(n).alias(c) for c, n in named.items()), score.alias("score"))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -211,5 +212,5 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Tox
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; repeated rows give repeated results."""
-    scored = fit(documents, labels).score(documents)
+    scored = fit(documents, labels).score(documents, ["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
