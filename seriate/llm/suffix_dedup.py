@@ -6,7 +6,8 @@ keyed by the bytes there. Keys that occur once cannot repeat. Where all segments
 others are sorted key by key: what stands right of the place and, reversed, left of it, by multikey quicksort down to a shallow depth
 and by blind tries below it. Two windows are equal if both their halves have the same place in those orders.
 
-Keys with very many different segments are not gathered: their windows are counted one by one under a 128-bit digest.
+Keys with very many different segments are not gathered. Their windows are dealt anew by where the place stands in them, in ever
+narrower ranges, and each range is keyed by the bytes that all its windows have; at last a range is a single window.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .common import mix, staged, text_slices
 
 #: Bytes whose hash decides a window's place; bytes that quicksort looks at before tries take over.
 GRAM, SHALLOW = 32, 24
-#: A key with more different segments than this is split into single windows.
-MOST_SEGMENTS = 1000
+#: A key with more different segments than this is split, by ranges of so many places each, one after the other.
+MOST_SEGMENTS, RANGES = 1000, (64, 8, 1)
 #: Segments up to this number are compared by pairs of neighbours' prefixes, more by classes for each place in the window.
 PAIRWISE = 24
 
@@ -301,22 +302,50 @@ def _spans_batch(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["key", "content", "first", "stop"])
 
 
-def _single_windows(rows: DataFrame, width: int) -> DataFrame:
-    """The same for keys with too many segments to gather: windows are counted under their digest."""
+def _split(rows: DataFrame, width: int, step: int) -> DataFrame:
+    """Cut segments into parts whose windows have the place within one range of ``step`` bytes.
+
+    A part's key covers the bytes that all windows of its range have, whatever windows the segment itself has of it.
+    """
 
     def run(batches):
         for batch in batches:
+            out: list[tuple] = []
             for k in range(batch.num_rows):
-                key, content, n, data = (batch.column(c)[k].as_py() for c in range(4))
-                size = len(data) - width + 1
-                digests = np.frombuffer(b"".join([hashlib.blake2b(data[s : s + width], digest_size=16).digest() for s in range(size)]), dtype="<i8").reshape(-1, 2)
-                columns = [np.full(size, key), np.full(size, content), np.full(size, n), np.arange(size), digests[:, 0], digests[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "content", "n", "first", "x", "y"])
-
-    windows = rows.select("key", "content", "n", "bytes").dropDuplicates(["key", "content"]).mapInArrow(run, "key long, content long, n long, first long, x long, y long")
-    windows = staged(windows, "windows")
-    twice = windows.groupBy("x", "y").agg(F.sum("n").alias("times")).where("times > 1").select("x", "y")
-    return windows.join(twice, ["x", "y"], "left_semi").select("key", "content", "first", (F.col("first") + 1).alias("stop"))
+                root_key, root_content, base, key, off, n, data = (batch.column(c)[k].as_py() for c in range(7))
+                low, high = off - (len(data) - width), off  # where the place stands in the windows
+                for part in range(low // step, high // step + 1):
+                    d1, d2 = part * step, min(part * step + step, width) - 1
+                    first, stop = off - min(high, d2), off - max(low, d1) + 1
+                    own, core = data[first : stop - 1 + width], data[off - d1 : off + width - d2] if d1 <= off else data[:0]
+                    digest = hashlib.blake2b(core, digest_size=8, person=f"{key & 0xFFFFFFFF:x}.{part:x}"[:16].encode()).digest()
+                    content = hashlib.blake2b(own, digest_size=8).digest()
+                    out.append((root_key, root_content, base + first, int.from_bytes(digest, "little", signed=True), int.from_bytes(content, "little", signed=True), off - first, n, own))
+            if out:
+                names = ["root_key", "root_content", "base", "key", "content", "at", "n", "bytes"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "bytes" else pa.int64()) for c, name in zip(zip(*out), names)], names)
+
+    return rows.select("root_key", "root_content", "base", "key", "at", "n", "bytes").mapInArrow(run, "root_key long, root_content long, base long, key long, content long, at long, n long, bytes binary")
+
+
+def _large_groups(rows: DataFrame, width: int, most_segments: int) -> DataFrame:
+    """The same for keys with too many segments to gather, by parts of them."""
+    now = rows.dropDuplicates(["key", "content"]).select(F.col("key").alias("root_key"), F.col("content").alias("root_content"), F.lit(0).cast("long").alias("base"), "key", F.col("at").bitwiseAND(F.lit(4095)).alias("at"), "n", "bytes")
+    out = None
+    for step in RANGES:
+        parts = staged(_split(now, width, step), "parts")
+        classes = parts.groupBy("key", "content").agg(F.sum("n").alias("n"), F.first("at").alias("at"), F.first("bytes").alias("bytes"))
+        classes = staged(classes, "part-classes")
+        sizes = classes.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("times")).where("times > 1").select("key", "m")
+        classes = staged(classes.join(sizes, "key"), "part-sizes")
+        runs = _sorted_groups(classes.where(F.col("m") <= most_segments), width)
+        found = parts.join(runs, ["key", "content"]).select(F.col("root_key").alias("key"), F.col("root_content").alias("content"), (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("stop")).alias("stop"))
+        out = found if out is None else out.unionByName(found)
+        large = classes.where(F.col("m") > most_segments)
+        if large.isEmpty():
+            break
+        now = parts.join(large.select("key", "content"), ["key", "content"], "left_semi")
+    return out
 
 
 def repeated_spans(texts: DataFrame, width: int, most_segments: int = MOST_SEGMENTS) -> DataFrame:
@@ -331,7 +360,7 @@ def repeated_spans(texts: DataFrame, width: int, most_segments: int = MOST_SEGME
     sizes = staged(classes, "segment-classes")
     classes = sizes.join(sizes.groupBy("key").agg(F.count("*").alias("m")), "key").select("one.*", "key", "content", "n", "m")
     rows = staged(_contents(texts, classes, width), "segment-bytes")
-    runs = _sorted_groups(rows.where(F.col("m") <= most_segments), width).unionByName(_single_windows(rows.where(F.col("m") > most_segments), width))
+    runs = _sorted_groups(rows.where(F.col("m") <= most_segments), width).unionByName(_large_groups(rows.where(F.col("m") > most_segments), width, most_segments))
     parts = several.join(runs, ["key", "content"]).select("id", "th", (start + F.col("first")).alias("first"), (start + F.col("stop") - 1 + width).alias("stop"))
     return whole.unionByName(parts)
 
