@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingles, staged, text_slices, words
+from .common import mix, rows_with, shingles, staged, text_slices, words
 from .components import components
 
 #: Bands and values a band. A pair at the threshold of 0.8 misses all bands with probability (1 - 0.8**4)**24 = 3e-6.
@@ -123,12 +123,13 @@ def _likeness(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of ids those whose sets satisfy 100 * intersection >= percent * union.
 
-    A text travels once, to be cut into its set; sets of the first members then meet the second members' by id.
+    Only texts that a pair names leave their task, cut into sets; those of the first members then meet those of the second by id. The
+    joins are hinted so that they are planned alike at every size.
     """
-    sides = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.lit(None).cast(pairs.schema["b"].dataType).alias("other")).distinct())
-    named = staged(sets_of(texts.join(sides.select("id").distinct(), "id", "left_semi"), n, ["id"]), "sets")
-    left = pairs.join(named.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(named.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    named = staged(sets_of(rows_with(texts, ["id"], ids), n, ["id"]), "sets")
+    left = pairs.hint("merge").join(named.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
+    both = left.hint("merge").join(named.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches):
@@ -145,22 +146,34 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 def _blocks(big: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between the components of large buckets (key, id, component, m), found block by block on full sets.
 
-    Each bucket's members are dealt into blocks of about BLOCK; every pair of blocks is one group, which builds an inverted index of the
-    second and counts intersections with the first. Within a group one link for each pair of components is enough.
+    A bucket's largest component needs no comparison within itself: the bucket's other members ask it, once for all buckets in which they
+    meet it, and each other. Askers and asked are dealt into blocks of about BLOCK; each pair of blocks is one group, which counts
+    intersections over an inverted index of the asked. Within a group one link for each pair of components is enough.
     """
-    n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = big.withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    sides = sides.select("key", "id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    named = staged(sets_of(texts.join(big.select("id").distinct(), "id", "left_semi"), n, ["id"]), "block-sets")
+    sizes = big.groupBy("key", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("target"))
     kind = big.schema["id"].dataType.simpleString()
+    dealt = big.join(largest, "key")
+    others = dealt.where("component <> target")
+    # Groups of askers and asked: of a target component, named by it, and of the rest of a bucket, named by its key.
+    of_target, of_key = F.concat(F.lit("component "), F.col("target").cast("string")), F.concat(F.lit("bucket "), F.col("key").cast("string"))
+    among = others.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    rest = others.join(among, "key").select(of_key.alias("group"), "id", "component")
+    asking = staged(others.select(of_target.alias("group"), "id", "component").distinct().unionByName(rest), "asking")
+    asked = staged(dealt.where("component = target").select(of_target.alias("group"), "id", "component").distinct().unionByName(rest), "asked")
+    count = lambda d, name: d.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    numbers = count(asking, "askers").join(count(asked, "blocks"), "group")
+    block = lambda size: F.pmod(F.xxhash64("id"), F.col(size)).cast("int")
+    spread = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+    left = asking.join(numbers, "group").select("group", "id", "component", F.lit(True).alias("asks"), block("askers").alias("i"), spread("blocks").alias("j"))
+    right = asked.join(numbers, "group").select("group", "id", "component", F.lit(False).alias("asks"), spread("askers").alias("i"), block("blocks").alias("j"))
+    both = left.unionByName(right)
+    named = staged(sets_of(rows_with(texts, ["id"], big.select("id")), n, ["id"]), "block-sets")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comps = table.column("id").to_pylist(), table.column("component").to_pylist()
-        block, i, j = table.column("block").to_pylist(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids, comps, asks = (table.column(c).to_pylist() for c in ("id", "component", "asks"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
-        right = [k for k in range(len(ids)) if block[k] == j]
-        left = right if i == j else [k for k in range(len(ids)) if block[k] == i]
+        right, left = [k for k, q in enumerate(asks) if not q], [k for k, q in enumerate(asks) if q]
         parent: dict = {c: c for c in comps}
 
         def root(c):
@@ -186,9 +199,10 @@ def _blocks(big: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame
                     if x != y:
                         parent[x] = y
                         found.append((ids[k], ids[right[o]]))
-        return pa.table({"a": pa.array([x for x, _ in found], table.schema.field("id").type), "b": pa.array([y for _, y in found], table.schema.field("id").type)})
+        kind_ = table.schema.field("id").type
+        return pa.table({"a": pa.array([x for x, _ in found], kind_), "b": pa.array([y for _, y in found], kind_)})
 
-    return sides.join(named, "id").groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    return both.hint("merge").join(named, "id").groupBy("group", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
