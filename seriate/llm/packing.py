@@ -25,16 +25,16 @@ from .common import staged
 #: A configuration: ((length, how many of it), ...) by falling length.
 Config = tuple[tuple[int, int], ...]
 
-#: Rounds of multiplicative weights, how fast weights fall, and the share of a length's count that one round may cover.
-ROUNDS, SPEED, SHARE = 1500, 6.0, 0.34
+#: Rounds of multiplicative weights; how far below full a configuration may be at first, by how much more after a round that covers less
+#: than LEAST of what is left; and the schedules that are tried: how fast weights move, and the share of a length that one round may cover.
+ROUNDS, SLACK, WIDEN, LEAST = 300, 0.0005, 1.5, 0.01
+SCHEDULES = ((0.3, 0.5), (0.05, 1.0))
 
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> Config:
-    """The configuration of the greatest value: a knapsack by dynamic programming over the capacity."""
+def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The knapsack by dynamic programming: the greatest value for each room, and the item (its index) that it took there, or -1."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    lengths, values = lengths[order], values[order]
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(int(lengths[0]), capacity + 1):
         n = upto[room]
@@ -44,8 +44,14 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> Config:
             best[room], took[room] = worth[k], k
         else:
             best[room] = best[room - 1]
-    found: dict[int, int] = {}
-    room = capacity
+    return best, took
+
+
+def configuration(first: int, took: np.ndarray, lengths: np.ndarray, capacity: int) -> Config:
+    """The item ``first`` and the best that fits beside it."""
+    size = int(lengths[first])
+    found = {size: 1}
+    room = capacity - size
     while room > 0:
         if took[room] < 0:
             room -= 1
@@ -56,27 +62,41 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> Config:
     return tuple(sorted(found.items(), reverse=True))
 
 
-def linear_program(counts: np.ndarray, capacity: int) -> dict[Config, float]:
-    """Fractional multiplicities of configurations that cover the counts, by multiplicative weights."""
-    lengths = np.flatnonzero(counts)
-    need = counts[lengths].astype(float)
-    at = np.full(capacity + 1, -1)
-    at[lengths] = np.arange(len(lengths))
-    covered = np.zeros(len(lengths))
+def linear_program(counts: np.ndarray, capacity: int, speed: float, share: float) -> dict[Config, float]:
+    """Fractional multiplicities of configurations that cover the counts, by multiplicative weights.
+
+    A round prices all configurations at once: each long piece with the best that fits beside it. Those that are full enough are raised,
+    each within what is left of its lengths; lengths that lag become dearer, those ahead cheaper.
+    """
+    left = counts.astype(float)
+    weights = np.ones(capacity + 1)
     out: dict[Config, float] = {}
+    slack = SLACK
     for _ in range(ROUNDS):
-        open_ = covered < 1
-        if not open_.any():
+        lengths = np.flatnonzero(left > 1e-9)
+        if not len(lengths):
             break
-        # The size of a piece is its price at the optimum of a full packing; weights move it as lengths lag or lead.
-        weights = np.where(open_, lengths * np.exp(-SPEED * (covered - covered[open_].mean())), 0.0)
-        config = price(weights[open_], lengths[open_], capacity)
-        own = at[[size for size, _ in config]]
-        many = np.array([k for _, k in config])
-        step = float((np.minimum(np.maximum(1 - covered[own], 1e-9), SHARE) * need[own] / many).min())
-        covered[own] += many * step / need[own]
-        covered[covered > 1 - 1e-9] = 1
-        out[config] = out.get(config, 0.0) + step
+        values = lengths * weights[lengths]
+        best, took = price(values, lengths, capacity)
+        before = float((left * np.arange(capacity + 1)).sum())
+        start = left.copy()
+        for k in np.argsort(-lengths):
+            if 2 * lengths[k] <= lengths[-1] or left[lengths[k]] <= 0:
+                continue
+            config = configuration(int(k), took, lengths, capacity)
+            if sum(size * n for size, n in config) < (1 - slack) * capacity:
+                continue
+            step = min(share * start[lengths[k]], *(left[size] / n for size, n in config))
+            if step > 0:
+                out[config] = out.get(config, 0.0) + step
+                for size, n in config:
+                    left[size] = max(0.0, left[size] - n * step)
+        left[left < 1e-6 * counts] = 0
+        after = float((left * np.arange(capacity + 1)).sum())
+        if after > (1 - LEAST) * before:
+            slack = min(1.0, slack * WIDEN)
+        covered = 1 - left[lengths] / counts[lengths]
+        weights[lengths] *= np.exp(-speed * share * (covered - covered.mean()))
     return out
 
 
@@ -119,10 +139,10 @@ def plan(counts: np.ndarray, capacity: int) -> dict[Config, int]:
     if left[capacity]:
         out[((capacity, 1),)] = int(left[capacity])
         left[capacity] = 0
-    rounded: dict[Config, int] = {}
-    rest = left.copy()
-    if rest.any():
-        for config, x in sorted(linear_program(rest, capacity).items(), key=lambda c: -c[1]):
+    found: list[dict[Config, int]] = []
+    for speed, share in SCHEDULES if left.any() else ():
+        rest, rounded = left.copy(), {}
+        for config, x in sorted(linear_program(left, capacity, speed, share).items(), key=lambda c: (-c[1], c[0])):
             n = min(int(x + 1e-6), *(int(rest[size]) // k for size, k in config))
             if n > 0:
                 rounded[config] = rounded.get(config, 0) + n
@@ -130,10 +150,8 @@ def plan(counts: np.ndarray, capacity: int) -> dict[Config, int]:
                     rest[size] -= n * k
         for config, n in best_fit(rest, capacity).items():
             rounded[config] = rounded.get(config, 0) + n
-        plain = best_fit(left, capacity)
-        if sum(plain.values()) < sum(rounded.values()):
-            rounded = plain
-    for config, n in rounded.items():
+        found.append(rounded)
+    for config, n in min(found, key=lambda r: sum(r.values()), default={}).items():
         out[config] = out.get(config, 0) + n
     return out
 
