@@ -83,11 +83,11 @@ def with_neighbours(df: DataFrame, keys: list[str], order: list[str], wanted: di
     pick = F.min_by if ahead else F.max_by
     edges = rows.groupBy(_RANGE).agg(pick(F.struct(*named), edge).alias("_edge"))
     w = Window.orderBy(_RANGE)
-    carry = edges.select(_RANGE, (F.lead if ahead else F.lag)("_edge").over(w).alias("_border"))
+    carry = edges.select(_RANGE, (F.lead if ahead else F.lag)("_edge").over(w).alias("_order_border"))
     local = _window([_RANGE], order)
-    out = rows.withColumn("_near", (F.lead if ahead else F.lag)(F.struct(*named)).over(local)).join(F.broadcast(carry), _RANGE, "left")
-    out = out.withColumns({n: F.coalesce("_near", "_border")[f"_in{k}"] for k, n in enumerate(wanted)})
-    return out.drop(_RANGE, "_near", "_border", *named)
+    out = rows.withColumn("_order_near", (F.lead if ahead else F.lag)(F.struct(*named)).over(local)).join(F.broadcast(carry), _RANGE, "left")
+    out = out.withColumns({n: F.coalesce("_order_near", "_order_border")[f"_in{k}"] for k, n in enumerate(wanted)})
+    return out.drop(_RANGE, "_order_near", "_order_border", *named)
 
 
 def with_position(df: DataFrame, keys: list[str], order: list[str], name: str = "_pos") -> DataFrame:

@@ -150,7 +150,7 @@ def lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Seq:
 def file_bytes(spark: SparkSession, path: str) -> Seq:
     """The bytes (0 to 255) of files, ordered within each."""
     rows = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.hex("content").alias("hex"))
-    own = rows.select("file", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("hex") / 2 - 1), lambda k: F.conv(F.substring("hex", (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))).alias("_pos", "value"))
+    own = rows.select("file", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.length("hex") / 2).cast("int") - 1), lambda k: F.conv(F.substring(F.col("hex"), 2 * k + 1, F.lit(2)), 16, 10).cast("int"))).alias("_pos", "value"))
     return Seq(own, by="file")
 
 
