@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import texts_of
+
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded chunks that a worker keeps; when full, the memory is cleared and filled anew.
@@ -258,7 +260,7 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], ["id", "ids"])
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return texts_of(df, df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,5 +293,5 @@ def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                     digests.append(pa.array(own, pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), *digests], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = texts_of(df, df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -12,13 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised helpers take at once; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that are handed to a Python worker at once where rows hold whole texts.
+TEXT_ROWS = 1000
+
+
+def texts_of(df: DataFrame, *columns) -> DataFrame:
+    """Select columns for a Python operator over whole texts, and have its session hand over few rows at once.
+
+    With the usual 10,000 rows a batch, workers and the engine's buffers beside them hold hundreds of MB of text.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df.select(*columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 

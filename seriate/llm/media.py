@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import texts_of
+
 #: Fixed values of the file format: boxes that hold boxes, and the size of a sample entry's common part by handler.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"moof", b"traf", b"mvex"}
 
@@ -168,7 +170,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                     media.append(store_bytes(raw + b"\xff" * ((-len(raw)) % FRAME if raw else FRAME)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return texts_of(df, df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 #: Columns that ``describe`` adds for the first track of each file.

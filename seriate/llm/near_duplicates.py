@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, rows_with, shingles, staged, text_slices, words
+from .common import mix, rows_with, shingles, staged, text_slices, texts_of, words
 from .components import components
 
 #: Bands and values a band. A pair at the threshold of 0.8 misses all bands with probability (1 - 0.8**4)**24 = 3e-6.
@@ -92,7 +92,7 @@ def signatures(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                     ["id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
+    return texts_of(df, df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def sets_of(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
@@ -225,7 +225,7 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     centre = centre.groupBy("key").agg(F.max(F.struct("score", (-F.xxhash64("id").cast("decimal(20,0)")).alias("tie"), "id")).alias("top")).select("key", F.col("top.id").alias("b"))
     pairs = met.join(centre, "key").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     pairs = staged(pairs, "pairs")
-    texts = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    texts = texts_of(df, df[id_col].alias("id"), df[text_col].alias("text"))
     links = staged(confirmed(pairs, texts, n, percent), "links")
     found = components(links)
     # Members of a bucket that the links of its centre left apart.

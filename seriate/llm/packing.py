@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import PairIndexBpe, groups_of
-from .common import staged
+from .common import staged, texts_of
 
 #: A configuration: ((length, how many of it), ...) by falling length.
 Config = tuple[tuple[int, int], ...]
@@ -230,7 +230,7 @@ def pieces(df: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
                 kinds = [batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, number long")
+    out = texts_of(df, df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, number long")
     return out.withColumnRenamed("id", id_col)
 
 

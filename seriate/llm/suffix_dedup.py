@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, staged, text_slices
+from .common import mix, staged, text_slices, texts_of
 
 #: Bytes whose hash decides a window's place; bytes that quicksort looks at before tries take over.
 GRAM, SHALLOW = 32, 24
@@ -375,7 +375,7 @@ def remove_repeats(df: DataFrame, width: int = 400, id_col: str = "doc_id", text
     if not GRAM <= width <= 4000:
         raise ValueError(f"width must be between {GRAM} and 4000 bytes")
     kind = df.schema[id_col].dataType.simpleString()
-    texts = df.select(df[id_col].alias("id"), F.hash(F.coalesce(df[text_col], F.lit(""))).alias("th"), F.coalesce(df[text_col], F.lit("")).alias("text"))
+    texts = texts_of(df, df[id_col].alias("id"), F.hash(F.coalesce(df[text_col], F.lit(""))).alias("th"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     found = repeated_spans(texts, width, most_segments)
     by_text = found.groupBy("id", "th").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
     joined = texts.join(by_text, (texts["id"].eqNullSafe(by_text["id"])) & (texts["th"] == by_text["th"]), "left").select(texts["id"], "text", "spans")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import groups_of
+from .common import texts_of
 
 #: Fixed values of the vocabulary files: the mark that stands for a space, and what an unknown costs below the least score.
 MARK, UNKNOWN_PENALTY = "▁", 10.0
@@ -130,5 +131,5 @@ def token_counts(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id", te
                     ["id", "n_chars", "n_tokens", "n_byte_tokens", "score"],
                 )
 
-    out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_chars long, n_tokens long, n_byte_tokens long, score double")
+    out = texts_of(df, df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_chars long, n_tokens long, n_byte_tokens long, score double")
     return out.withColumnRenamed("id", id_col)

@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, texts_of
 
 #: The bound of the sample of labelled rows that the model is fitted on, and the folds of its lexicons.
 SAMPLE_ROWS, FOLDS = 20_000, 4
@@ -156,7 +156,7 @@ def with_features(df: DataFrame, lexicons: list[frozenset[str]], keep: list[str]
                         own.clear()
 
     fold = F.col(fold_col) if fold_col else F.lit(-1)
-    return df.select(*keep, df[text_col].alias("_text"), fold.cast("int").alias("_fold")).mapInArrow(run, schema)
+    return texts_of(df, *keep, df[text_col].alias("_text"), fold.cast("int").alias("_fold")).mapInArrow(run, schema)
 
 
 class ToxicityModel:
