@@ -17,7 +17,6 @@ CHUNKS, PER = 8, 8
 SAMPLES = CHUNKS * PER
 
 _HALF = (1 << 31) - 1
-_LOW = (1 << 32) - 1
 
 
 def _uniform(h: Column, shift: int) -> Column:
@@ -26,7 +25,7 @@ def _uniform(h: Column, shift: int) -> Column:
 
 
 def sample_keys(term: Column, log_weight: Column, number: int) -> Column:
-    """A long whose minimum over a set's terms is its sample: the value in the upper bits, term and t in the lower 32.
+    """A long whose minimum over a set's terms is its sample: the value in the upper bits, term and t in the lower 31.
 
     ``term`` is a hash of the term and of the chunk, ``log_weight`` null where the set lacks the term.
     """
@@ -38,7 +37,7 @@ def sample_keys(term: Column, log_weight: Column, number: int) -> Column:
     value = F.log(c) - r * (t - b + F.lit(1.0))
     # Values lie well within -120 .. 120, so 31 bits keep their order to 1e-7.
     high = F.floor((F.greatest(F.lit(-127.0), F.least(F.lit(127.0), value)) + F.lit(128.0)) * F.lit(float(1 << 23))).cast("long")
-    low = three.bitwiseXOR(F.shiftleft(t.cast("long"), 3)).bitwiseXOR(F.shiftrightunsigned(three, 29)).bitwiseAND(F.lit(_LOW))
+    low = three.bitwiseXOR(F.shiftleft(t.cast("long"), 3)).bitwiseXOR(F.shiftrightunsigned(three, 29)).bitwiseAND(F.lit(_HALF))
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
@@ -48,7 +47,7 @@ def words_of(text: Column) -> Column:
 
 
 def weighted_samples(texts: DataFrame, keys: list[str], sides: list[str]) -> DataFrame:
-    """The samples, as array<bigint>, of one or more text columns of each row.
+    """The samples, as array<int>, of one or more text columns of each row.
 
     Rows must be told apart by their keys, and be partitioned by them if no further shuffle is wanted. A text without words gives null.
     """
@@ -62,7 +61,7 @@ def weighted_samples(texts: DataFrame, keys: list[str], sides: list[str]) -> Dat
     least = [F.min(sample_keys(F.col("term"), F.col(f"l{k}"), j)).alias(f"s{k}_{j}") for k in range(len(sides)) for j in range(PER)]
     chunks = spread.groupBy(*keys, "chunk").agg(*least)
     lists = [F.collect_list(F.struct("chunk", F.array(*(F.col(f"s{k}_{j}") for j in range(PER))).alias("own"))).alias(s) for k, s in enumerate(sides)]
-    low = lambda x: x.bitwiseAND(F.lit(_LOW))
+    low = lambda x: x.bitwiseAND(F.lit(_HALF)).cast("int")
     out = chunks.groupBy(*keys).agg(*lists)
     samples = lambda s: F.transform(F.flatten(F.transform(F.array_sort(F.col(s)), lambda x: x["own"])), low)
     return out.select(*keys, *(F.when(samples(s)[0].isNotNull(), samples(s)).alias(s) for s in sides))
@@ -107,24 +106,23 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n, repeated = total["n"] or 1, (total["times"] or 1) > 1
     if repeated:
         docs = docs.dropDuplicates(["id", "th"])
-    # To whom each document lends its beginning, and how much of it.
-    lends = placed.select(((F.col("pos") + 1) % n).alias("pos"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    plan = staged(placed.join(lends, "pos").select("id", "th", "to_id", "to_th", "need"), "lends")
-    # A null id is joined like any other value.
-    docs = docs.withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit("null")))
-    plan = plan.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("key"), "th", F.coalesce(F.col("to_id").cast("string"), F.lit("null")).alias("to_key"), "to_th", "need")
-    lent = docs.join(plan, ["key", "th"]).select(F.col("to_key").alias("key"), F.col("to_th").alias("th"), F.substring("text", F.lit(1), F.col("need")).alias("lent"))
+    # To whom each document lends its beginning, how much of it, and who follows it. A null id is joined like any other value.
+    named = placed.select("pos", "id", F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("key"), "th", "n", "times")
+    lends = named.select(((F.col("pos") + 1) % n).alias("pos"), F.col("key").alias("to_key"), F.col("th").alias("to_th"), F.floor(F.col("n") / 2).cast("int").alias("need"))
+    follows = named.select(((F.col("pos") - 1 + n) % n).alias("pos"), F.col("key").alias("next_key"), F.col("th").alias("next_th"))
+    plan = staged(named.join(lends, "pos").join(follows, "pos"), "lends")
+    # Both joins read the same columns of the texts, so that one shuffle of them serves both; hints keep the plan alike at every size.
+    keyed = docs.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("key"), "th", "text")
+    lent = keyed.hint("merge").join(plan.select("key", "th", "to_key", "to_th", "need"), ["key", "th"]).select(F.col("to_key").alias("key"), F.col("to_th").alias("th"), F.substring("text", F.lit(1), F.col("need")).alias("lent"))
     half = (F.length("text") - F.floor(F.length("text") / 2)).cast("int")
-    both = docs.join(lent, ["key", "th"]).withColumn("edited", F.concat(F.substring("text", F.lit(1), half), "lent"))
+    both = keyed.hint("merge").join(lent, ["key", "th"]).withColumn("edited", F.concat(F.substring("text", F.lit(1), half), "lent"))
     samples = weighted_samples(both, ["key", "th"], ["text", "edited"]).withColumnsRenamed({"text": "x", "edited": "y"})
-    digests = both.select("key", "th", "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    digests = both.select("key", "th", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
     found = staged(digests.join(samples, ["key", "th"], "left"), "fingerprints")
-    owner = plan.select(F.col("key").alias("next_key"), F.col("th").alias("next_th"), F.col("to_key").alias("key"), F.col("to_th").alias("th"))
-    following = owner.join(found.select(F.col("key").alias("next_key"), F.col("th").alias("next_th"), F.col("x").alias("z")), ["next_key", "next_th"]).select("key", "th", "z")
-    out = found.join(following, ["key", "th"])
+    known = found.hint("merge").join(plan.select("key", "th", "id", F.col("n").alias("n_chars"), "times", "next_key", "next_th"), ["key", "th"])
+    out = known.hint("merge").join(found.select(F.col("key").alias("next_key"), F.col("th").alias("next_th"), F.col("x").alias("z")), ["next_key", "next_th"])
     if repeated:
-        times = placed.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("key"), "th", "times")
-        out = out.join(times, ["key", "th"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return out.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", as_string(F.col("x")).alias("fingerprint"), as_string(F.col("y")).alias("edited_fingerprint"),
         likeness(F.col("x"), F.col("y")).alias("near_edited"), likeness(F.col("x"), F.col("z")).alias("near_next"),
