@@ -555,8 +555,80 @@ class Seq:
         value, at = F.when(F.col("_row"), self.x), F.struct(*self.order)
         return both.groupBy(*self.by, "key").agg(*((a(value, at) if callable(a) else a).alias(n) for n, a in own.items()))
 
+    def sum(self) -> DataFrame:
+        """The sum; whole numbers wrap at their width, and nothing sums to 0."""
+        kind = dict(self.df.dtypes)[self.value]
+        return self.collect(sum=N.sum_int(self.x) if kind == "int" else N.sum_long(self.x) if kind == "bigint" else F.coalesce(F.sum(self.x), F.lit(0.0)))
+
+    def average(self) -> DataFrame:
+        return self.collect(average=C.averaging(self.x))
+
+    def min(self) -> DataFrame:
+        """The least value; NaN as soon as one is."""
+        return self.collect(min=N.min_double(self.x) if dict(self.df.dtypes)[self.value] in ("double", "float") else F.min(self.x))
+
+    def max(self) -> DataFrame:
+        return self.collect(max=F.max(self.x))
+
+    def min_by(self, f: Fn) -> DataFrame:
+        return self.collect(**{self.value: C.min_by(f)})
+
+    def max_by(self, f: Fn) -> DataFrame:
+        return self.collect(**{self.value: C.max_by(f)})
+
+    def joining(self, delimiter: str = "", prefix: str = "", suffix: str = "") -> DataFrame:
+        return self.collect(joined=C.joining(delimiter, prefix, suffix))
+
+    def reduce_with_zero(self, zero, f: Callable[[Column, Column], Column], identity) -> DataFrame:
+        """A fold that stays at the zero once it gets there."""
+        z = F.lit(zero)
+        return self.fold_left(F.lit(identity).cast(self.df.schema[self.value].dataType), lambda acc, x: F.when(acc == z, acc).otherwise(f(acc, x)))
+
+    def to_map(self, key: Fn, value: Fn = lambda x: x, merge: Callable[[Column], Column] | None = None) -> DataFrame:
+        """A map of all values; a repeated key is an error unless ``merge`` makes one value of its ordered values."""
+        return self.map_to_entry(key, value).to_map(merge)
+
+    def to_sorted_map(self, key: Fn, value: Fn = lambda x: x, merge: Callable[[Column], Column] | None = None) -> DataFrame:
+        """The same as an array of entries by key: maps have no order."""
+        return self.map_to_entry(key, value).to_sorted_map(merge)
+
+    def grouping_to_set(self, key: Fn) -> DataFrame:
+        return self.grouping_by(key, **{self.value: C.to_set})
+
+    def to_flat_list(self, f: Fn) -> DataFrame:
+        return self.collect(**{self.value: C.flat_mapping(f)})
+
+    def to_bit_set(self) -> DataFrame:
+        return self.collect(**{self.value: C.to_bit_set})
+
+    def code_points_to_string(self) -> DataFrame:
+        """Code points as one string."""
+        text = F.udf(lambda a: "".join(map(chr, a)), "string", useArrow=True)
+        return self.collect(**{self.value: lambda x, at: text(C.to_list(x, at))})
+
+    def chars_to_string(self) -> DataFrame:
+        """16-bit units as one string; pairs of surrogates become one code point."""
+        text = F.udf(lambda a: b"".join(c.to_bytes(2, "little") for c in a).decode("utf-16-le", "replace"), "string", useArrow=True)
+        return self.collect(**{self.value: lambda x, at: text(C.to_list(x, at))})
+
     # -- sinks
 
+    def peek_first(self, action: Callable) -> Seq:
+        """Call an action with the first value, on the driver."""
+        for x in self.limit(1).to_list():
+            action(x)
+        return self
+
+    def peek_last(self, action: Callable) -> Seq:
+        for r in self.collect(last=C.last, n=C.counting).collect():
+            if r["n"]:
+                action(r["last"])
+        return self
+
+    def to_bytes(self) -> bytes:
+        """The lowest bytes of all values, on the driver."""
+        return bytes(x & 0xFF for x in self.iterator())
+
     def to_list(self) -> list:
         """The values on the driver; meant for results, not for tables."""
         return [r[0] for r in self.ordered().select(self.value).collect()]

@@ -220,3 +220,17 @@ def test_bounded_joining(seq):
     assert Joining("", "<<<<", ">>>>").max_chars(5).join(["x"]) == "<<<<>" and Joining(",").max_chars(2).join(["abc", "d"]) == ".."
     assert Joining("").max_graphemes(4).cut_at_grapheme().join(["é", "x", "y", "z", "w"]) == "é..."
     assert Joining(",").max_chars(100).join([]) == ""
+
+
+def test_short_forms(seq):
+    s = seq([5, 2, 9, 2])
+    assert only(s.sum()) == 18 and only(s.average()) == 4.5 and only(s.min()) == 2 and only(s.max()) == 9 and only(seq([]).sum()) == 0
+    assert only(seq([2**31 - 1, 1]).sum()) == -(2**31) and math.isnan(only(seq([1.0, float("nan")], "double").min()))
+    assert only(s.min_by(lambda x: -x)) == 9 and only(s.max_by(lambda x: x % 4)) == 2 and only(s.joining("+")) == "5+2+9+2"
+    assert only(s.reduce_with_zero(0, lambda a, x: a * x, 1)) == 180 and only(seq([3, 0, 7]).reduce_with_zero(0, lambda a, x: a * x, 1)) == 0
+    assert only(s.to_map(lambda x: x % 3, merge=F.size)) == {2: 3, 0: 1} and [tuple(e) for e in only(s.to_sorted_map(lambda x: x, lambda x: -x, lambda v: F.get(v, 0)))] == [(2, -2), (5, -5), (9, -9)]
+    assert only(s.to_bit_set()) == [2, 5, 9] and only(s.to_flat_list(lambda x: F.sequence(x, x + 1))) == [5, 6, 2, 3, 9, 10, 2, 3]
+    assert only(seq([97, 0x1F600]).code_points_to_string()) == "a😀" and only(seq([97, 0xD83D, 0xDE00]).chars_to_string()) == "a😀"
+    seen = []
+    s.peek_first(seen.append).peek_last(seen.append)
+    assert seen == [5, 2] and seq([1, 255, 256]).to_bytes() == b"\x01\xff\x00"
