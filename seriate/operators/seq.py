@@ -290,9 +290,10 @@ class Seq:
 
     def islands(self, same: Fn, name: str = "_run") -> DataFrame:
         """Number the runs from 0: a row belongs to its predecessor's run if same(previous, this)."""
-        near = O.with_neighbours(self.df, self.by, self.order, {"_prev": F.struct(self.x.alias("x"))})
+        cuts = O.cuts_of(self.df, self.by, self.order)
+        near = O.with_neighbours(self.df, self.by, self.order, {"_prev": F.struct(self.x.alias("x"))}, cuts=cuts)
         new = F.when(F.col("_prev").isNull(), 0).when(F.coalesce(same(F.col("_prev.x"), self.x), F.lit(False)), 0).otherwise(1)
-        return O.with_running(near, self.by, self.order, {name: ("sum", new.cast("bigint"))}).drop("_prev")
+        return O.with_running(near, self.by, self.order, {name: ("sum", new.cast("bigint"))}, cuts=cuts).drop("_prev")
 
     def collapse(self, same: Fn, *aggregates: Column, name: str = "_run") -> DataFrame:
         """One row for each run, with aggregates; without any, the run's first value."""

@@ -25,14 +25,20 @@ def bounds(df: DataFrame, column: str, ranges: int) -> list:
     return [values[len(values) * k // ranges] for k in range(1, ranges)]
 
 
-def in_ranges(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+def cuts_of(df: DataFrame, keys: list[str], order: list[str]) -> list | None:
+    """The bounds of a table's ranges, for operators in a row that share them; none where there are keys."""
+    if keys:
+        return None
+    return bounds(df, order[0], min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+
+def in_ranges(df: DataFrame, order: list[str], cuts: list | None = None) -> DataFrame:
     """Add the number of the range of every row, so that ranges follow each other in the order; a null leads."""
-    ranges = min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    cuts = bounds(df, order[0], ranges)
+    cuts = cuts_of(df, [], order) if cuts is None else cuts
     number = F.lit(0)
     for b in cuts:
         number = number + (F.col(order[0]) >= F.lit(b)).cast("int")
-    return df.withColumn(_RANGE, F.coalesce(number, F.lit(-1)) if cuts else F.lit(0)), len(cuts) + 2
+    return df.withColumn(_RANGE, F.coalesce(number, F.lit(-1)) if cuts else F.lit(0))
 
 
 def _window(keys: list[str], order: list[str], backward: bool = False):
@@ -49,7 +55,7 @@ _MERGE = {
 }
 
 
-def with_running(df: DataFrame, keys: list[str], order: list[str], wanted: dict[str, tuple[str, Column]], backward: bool = False, before: bool = False) -> DataFrame:
+def with_running(df: DataFrame, keys: list[str], order: list[str], wanted: dict[str, tuple[str, Column]], backward: bool = False, before: bool = False, cuts: list | None = None) -> DataFrame:
     """Add running aggregates: name -> (sum, min or max; expression), from the first row (or, backward, the last) to each row.
 
     With ``before`` a row itself is left out, and the first row's aggregate is null.
@@ -59,7 +65,7 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], wanted: dict[
         w = _window(keys, order, backward).rowsBetween(*frame)
         return df.withColumns({n: _MERGE[kind][0](e).over(w) for n, (kind, e) in wanted.items()})
     named = {f"_in{k}": e for k, (_, e) in enumerate(wanted.values())}
-    rows, _ = in_ranges(df.withColumns(named), order)
+    rows = in_ranges(df.withColumns(named), order, cuts)
     kinds = [kind for kind, _ in wanted.values()]
     totals = rows.groupBy(_RANGE).agg(*(_MERGE[kind][0](F.col(n)).alias(f"_t{k}") for k, (n, kind) in enumerate(zip(named, kinds))))
     # One row for each range.
@@ -71,14 +77,14 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], wanted: dict[
     return out.drop(_RANGE, *named, *(f"_{x}{k}" for k in range(len(kinds)) for x in "lc"))
 
 
-def with_neighbours(df: DataFrame, keys: list[str], order: list[str], wanted: dict[str, Column], ahead: bool = False) -> DataFrame:
+def with_neighbours(df: DataFrame, keys: list[str], order: list[str], wanted: dict[str, Column], ahead: bool = False, cuts: list | None = None) -> DataFrame:
     """Add expressions of the row before each row (or after it, if ahead); null for a row without such a neighbour."""
     if keys:
         w = _window(keys, order)
         move = F.lead if ahead else F.lag
         return df.withColumns({n: move(e).over(w) for n, e in wanted.items()})
     named = {f"_in{k}": e for k, e in enumerate(wanted.values())}
-    rows, _ = in_ranges(df.withColumns(named), order)
+    rows = in_ranges(df.withColumns(named), order, cuts)
     edge = F.struct(*order)
     pick = F.min_by if ahead else F.max_by
     edges = rows.groupBy(_RANGE).agg(pick(F.struct(*named), edge).alias("_edge"))
