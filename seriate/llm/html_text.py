@@ -1,9 +1,10 @@
 """Operator 4: main text of web pages by wrapper induction.
 
 Pages of one host share a template. Each page's DOM tree, with runs of like siblings folded into one, is aligned with reference pages
-of its host by simple tree matching. Nodes whose text stays the same in nearly all alignments are template, the others are slots. A
-page's text is what stands in its article, or, without one, in its host's varying slots, less what a page's structure marks as
-something else: menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments.
+of its host by simple tree matching. Nodes whose text stays the same in nearly all alignments are template, the others are slots; a line
+of a slot that nearly all alignments have there is template, too. A page's text is what stands in its host's varying slots, within an
+article or not, less what a page's structure marks as something else: menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, comments. An article is a hint only: its blocks are judged by their own lines, never by their path alone.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -142,6 +144,7 @@ def folded(found: list[tuple[str, str, bool, bool]]) -> Node:
             if not node.children or node.children[-1].sign != sign:
                 node.children.append(Node(sign.split(".")[0], sign, skip, main))
             node = node.children[-1]
+        node.skip, node.main = skip, main
         node.text.append(text)
     return root
 
@@ -182,21 +185,45 @@ def paths(node: Node, above: str = "") -> dict[int, str]:
     return out
 
 
-def votes(page: Node, reference: Node) -> list[tuple[str, bool]]:
-    """(path, equal) of every matched node with text. Pages that differ nowhere are copies and tell nothing."""
+#: What is counted of a path beside its lines: alignments, and those with equal text.
+PAIRS, EQUAL = 0, 1
+
+
+def mark(path: str, text: str = "") -> int:
+    """A 63-bit hash of a path, or of a line at a path, other than PAIRS and EQUAL."""
+    return (int.from_bytes(blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1) | 2
+
+
+def votes(page: Node, reference: Node) -> list[tuple[int, int]]:
+    """(path, item) of every path of matched nodes with text that is not skipped: PAIRS, EQUAL if all text is, and each line that both have.
+
+    Pages that differ nowhere are copies and tell nothing; those with one article under different menus tell nothing of the article.
+    """
     _, matched = tree_match(page, reference)
+    matched = [(x, y) for x, y in matched if x.text or y.text]
+    if all(x.text == y.text for x, y in matched):
+        return []
+    copied = all(x.text == y.text for x, y in matched if x.main or y.main)
     at = paths(page)
-    found = [(at[id(x)], x.text == y.text) for x, y in matched if x.text or y.text]
-    return [] if all(same for _, same in found) else found
+    found: dict[str, tuple[list[str], list[str]]] = {}
+    for x, y in matched:
+        if not (x.text and x.skip or copied and x.main):
+            own, other = found.setdefault(at[id(x)], ([], []))
+            own += x.text
+            other += y.text
+    out = []
+    for path, (own, other) in found.items():
+        where = mark(path)
+        out.append((where, PAIRS))
+        if own == other:
+            out.append((where, EQUAL))
+        out += [(where, mark(path, t)) for t in set(own).intersection(other)]
+    return out
 
 
-def main_text(found: list[tuple[str, str, bool, bool]], template: frozenset[str] | set[str]) -> str:
-    """The text of a page's blocks under its host's template paths."""
-    article = [t for _, t, skip, main in found if main and not skip]
-    if article:
-        return "\n".join(article)
-    kept = [t for path, t, skip, _ in found if not skip and path not in template]
-    return "\n".join(kept)
+def main_text(found: list[tuple[str, str, bool, bool]], template: frozenset[int] | set[int]) -> str:
+    """The text of a page's blocks under its host's template: marks of paths and of lines."""
+    return "\n".join(t for path, t, skip, main in found if not skip and mark(path, t) not in template and (main or mark(path) not in template))
 
 
 def host_of(url) -> F.Column:
@@ -210,7 +237,7 @@ def _by_host(rows: DataFrame, small: DataFrame, size: int) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, template array<string>): the paths whose text is template, from pages (host, html).
+    """(host, template array<long>): the marks of template paths and lines, from pages (host, html).
 
     Every page is aligned with two references of its host, those with the least and the greatest hash.
     """
@@ -226,7 +253,8 @@ def induce(pages: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 host, html = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or ""
                 page = None
-                for other in {batch.column(2)[k].as_py() or "", batch.column(3)[k].as_py() or ""}:
+                one, two = batch.column(2)[k].as_py() or "", batch.column(3)[k].as_py() or ""
+                for n, other in enumerate((one, two) if one != two else (one,)):
                     if other == html:
                         continue
                     if other not in trees:
@@ -234,16 +262,20 @@ def induce(pages: DataFrame) -> DataFrame:
                             trees.clear()
                         trees[other] = folded(blocks(other))
                     page = page or folded(blocks(html))
-                    counted.update([(host, path, same) for path, same in votes(page, trees[other])])
+                    counted.update([(host, n, path, item) for path, item in votes(page, trees[other])])
             if counted:
-                hosts, where, same = zip(*counted)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(where), pa.array(same), pa.array(list(counted.values()), pa.int64())], ["host", "path", "same", "n"])
+                hosts, of, where, items = zip(*counted)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(of, pa.int32()), pa.array(where, pa.int64()), pa.array(items, pa.int64()), pa.array(list(counted.values()), pa.int64())], ["host", "reference", "path", "item", "n"])
 
-    counted = _by_host(pages, references, size).select("host", "html", "one", "two").mapInArrow(run, "host string, path string, same boolean, n long")
-    shares = counted.groupBy("host", "path").agg(F.sum("n").alias("pairs"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("same"))
-    shares = shares.where((F.col("pairs") >= LEAST_PAIRS) & (F.col("same") >= TEMPLATE_SHARE * F.col("pairs")))
-    most = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("pairs")).alias("less"), "path"))), 1, MOST_PATHS)
-    return shares.groupBy("host").agg(most.alias("own")).select("host", F.col("own.path").alias("template"))
+    counted = _by_host(pages, references, size).select("host", "html", "one", "two").mapInArrow(run, "host string, reference int, path long, item long, n long")
+    counted = staged(counted.groupBy("host", "reference", "path", "item").agg(F.sum("n").alias("n")), "votes")
+    share = (F.col("pairs") >= LEAST_PAIRS) & (F.col("same") >= TEMPLATE_SHARE * F.col("pairs"))
+    nodes = counted.groupBy("host", "path").agg(F.sum(F.when(F.col("item") == PAIRS, F.col("n"))).alias("pairs"), F.coalesce(F.sum(F.when(F.col("item") == EQUAL, F.col("n"))), F.lit(0)).alias("same"))
+    # A line is judged by the alignments with the references that have it.
+    pairs = counted.where(F.col("item") == PAIRS).select("host", "reference", "path", F.col("n").alias("pairs"))
+    lines = counted.where(F.col("item") > EQUAL).join(pairs, ["host", "reference", "path"]).groupBy("host", "item").agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("same"))
+    found = nodes.where(share).select("host", F.col("path").alias("mark")).unionByName(lines.where(share).select("host", F.col("item").alias("mark")))
+    return found.groupBy("host").agg(F.collect_list("mark").alias("template"))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -255,7 +287,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     kind = df.schema[id_col].dataType.simpleString()
     pages = texts_of(df, df[id_col].alias("id"), df[url_col].alias("url"), F.coalesce(df[html_col], F.lit("")).alias("html")).withColumn("host", host_of(F.col("url")))
     wrappers = staged(induce(pages.select("host", "html")), "wrappers")
-    size = wrappers.agg(F.sum(F.length("host") + F.aggregate("template", F.lit(0), lambda n, x: n + F.length(x))).alias("n")).first()["n"] or 0
+    size = wrappers.agg(F.sum(F.length("host") + 8 * F.size("template")).alias("n")).first()["n"] or 0
 
     def run(batches):
         for batch in batches:

@@ -122,6 +122,16 @@ def test_html_template_is_induced_by_host(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_articles_are_judged_by_the_template(spark):
+    page = "<body><div class=top>Same banner</div><div class=lead><h1>Head {0}</h1></div><article><p>text {0}</p><p>Read us daily</p><p>more {0}</p></article><div class=tail>last {0}</div></body>"
+    copies = "<nav>menu {0}</nav><article><p>One article</p><p>under many menus</p></article>"
+    rows = [(k, "https://h.example.org/x", page.format(k)) for k in range(20)] + [(50 + k, "https://c.example.org/x", copies.format(k)) for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert [got[k] for k in range(20)] == [f"Head {k}\ntext {k}\nmore {k}\nlast {k}" for k in range(20)]
+    assert all(got[50 + k] == "One article\nunder many menus" for k in range(9))
+
+
 def test_tree_match_counts_aligned_nodes():
     one, two = (html_text.folded(html_text.blocks(h)) for h in ("<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><p>x</p><p>y</p><table><td>q</table></div>"))
     score, matched = html_text.tree_match(one, two)
