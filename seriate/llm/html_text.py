@@ -2,7 +2,8 @@
 
 Pages of one host share a template. Each page's DOM tree, with runs of like siblings folded into one, is aligned with reference pages
 of its host by simple tree matching. Nodes whose text stays the same in nearly all alignments are template, the others are slots; a line
-of a slot that nearly all alignments have there is template, too. A page's text is what stands in its host's varying slots, within an
+of a slot that nearly all alignments have there is template, too. A host with several page layouts has a wrapper for each: pages are
+aligned with references of their layout as well, which decide wherever they were met often enough. A page's text is what stands in its host's varying slots, within an
 article or not, less what a page's structure marks as something else: menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, comments. An article is a hint only: its blocks are judged by their own lines, never by their path alone.
 """
@@ -24,8 +25,8 @@ from .common import staged, texts_of
 TEMPLATE_SHARE, LEAST_PAIRS = 0.8, 5
 #: Reference pages and wrappers are broadcast up to these many bytes; beyond it they are joined by host.
 BROADCAST_BYTES = 16 << 20
-#: Above this many paths a host's wrapper keeps those with the most alignments; the others count as slots.
-MOST_PATHS = 2000
+#: The fewest pages of a layout that give LEAST_PAIRS alignments with two references.
+LEAST_PAGES = LEAST_PAIRS // 2 + 2
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,6 +34,8 @@ RAW = frozenset("script style noscript template svg math iframe object textarea
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
+#: Elements that say how a text is set, not how a page is laid out.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption".split())
 SCOPES = frozenset("ul ol dl table body html article section div main nav aside footer header form".split())
 #: Elements that are never main text, and words of class, id and role that say the same of any element.
 BOILERPLATE_TAGS = frozenset("head nav footer aside form button select dialog menu".split()) | RAW
@@ -135,6 +138,17 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
     return out
 
 
+def layout_of(found: list[tuple[str, str, bool, bool]]) -> int:
+    """A hash of the set of containers that hold a page's blocks; plain text elements at a path's end do not count."""
+    containers = set()
+    for path in {path for path, _, _, _ in found}:
+        signs = path.split("/")
+        while len(signs) > 1 and signs[-1] in TEXT_TAGS:
+            signs.pop()
+        containers.add("/".join(signs))
+    return mark("\n".join(sorted(containers)))
+
+
 def folded(found: list[tuple[str, str, bool, bool]]) -> Node:
     """The tree of a page's blocks, in which siblings that follow each other with one sign are a single node."""
     root = Node("", "", False, False)
@@ -221,9 +235,16 @@ def votes(page: Node, reference: Node) -> list[tuple[int, int]]:
     return out
 
 
-def main_text(found: list[tuple[str, str, bool, bool]], template: frozenset[int] | set[int]) -> str:
-    """The text of a page's blocks under its host's template: marks of paths and of lines."""
-    return "\n".join(t for path, t, skip, main in found if not skip and mark(path, t) not in template and (main or mark(path) not in template))
+def main_text(found: list[tuple[str, str, bool, bool]], template: frozenset[int] | set[int], own: frozenset[int] | set[int] = frozenset(), met: frozenset[int] | set[int] = frozenset()) -> str:
+    """The text of a page's blocks under its host's template, or its layout's own at the paths met there: marks of paths and of lines."""
+    kept = []
+    for path, t, skip, main in found:
+        if not skip:
+            where = mark(path)
+            marks = own if where in met else template
+            if mark(path, t) not in marks and (main or where not in marks):
+                kept.append(t)
+    return "\n".join(kept)
 
 
 def host_of(url) -> F.Column:
@@ -231,29 +252,37 @@ def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def _by_host(rows: DataFrame, small: DataFrame, size: int) -> DataFrame:
-    """Join by host; the small side is broadcast only if its measured size allows."""
-    return rows.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, "host", "left")
+def _by(keys: list[str], rows: DataFrame, small: DataFrame, size: int, how: str = "left") -> DataFrame:
+    """Join by host, or host and layout; the small side is broadcast only if its measured size allows."""
+    return rows.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, keys, how)
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """(host, template array<long>): the marks of template paths and lines, from pages (host, html).
+def with_layout(pages: DataFrame) -> DataFrame:
+    """Add ``layout`` to pages with a column html."""
+    at = pages.columns.index("html")
 
-    Every page is aligned with two references of its host, those with the least and the greatest hash.
-    """
-    order = F.xxhash64("html")
-    references = pages.groupBy("host").agg(F.min_by("html", order).alias("one"), F.max_by("html", order).alias("two"))
+    def run(batches):
+        for batch in batches:
+            found = [layout_of(blocks(html or "")) for html in batch.column(at).to_pylist()]
+            yield batch.append_column("layout", pa.array(found, pa.int64()))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes)
+    return pages.mapInArrow(run, f"{schema}, layout long")
+
+
+def _counted(pages: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
+    """(host, layout, reference, path, item, n): votes of the pages that have references (one, two) by these keys."""
     references = staged(references, "references")
     size = references.agg(F.sum(F.length("one") + F.length("two")).alias("n")).first()["n"] or 0
+    names = ["host", "layout", "reference", "path", "item", "n"]
 
     def run(batches):
         trees: dict[str, Node] = {}
         for batch in batches:
             counted: Counter = Counter()
             for k in range(batch.num_rows):
-                host, html = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or ""
+                host, layout, html, one, two = (batch.column(c)[k].as_py() for c in range(5))
                 page = None
-                one, two = batch.column(2)[k].as_py() or "", batch.column(3)[k].as_py() or ""
                 for n, other in enumerate((one, two) if one != two else (one,)):
                     if other == html:
                         continue
@@ -262,20 +291,43 @@ def induce(pages: DataFrame) -> DataFrame:
                             trees.clear()
                         trees[other] = folded(blocks(other))
                     page = page or folded(blocks(html))
-                    counted.update([(host, n, path, item) for path, item in votes(page, trees[other])])
+                    counted.update([(host, layout, n, path, item) for path, item in votes(page, trees[other])])
             if counted:
-                hosts, of, where, items = zip(*counted)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(of, pa.int32()), pa.array(where, pa.int64()), pa.array(items, pa.int64()), pa.array(list(counted.values()), pa.int64())], ["host", "reference", "path", "item", "n"])
+                columns = [*zip(*counted), list(counted.values())]
+                kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    # Votes of a host's references stand at layout 0.
+    layout = F.col("layout") if "layout" in keys else F.lit(0).cast("long").alias("layout")
+    rows = _by(keys, pages, references, size, "inner").select("host", layout, "html", "one", "two")
+    return rows.mapInArrow(run, "host string, layout long, reference int, path long, item long, n long").groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+
 
-    counted = _by_host(pages, references, size).select("host", "html", "one", "two").mapInArrow(run, "host string, reference int, path long, item long, n long")
-    counted = staged(counted.groupBy("host", "reference", "path", "item").agg(F.sum("n").alias("n")), "votes")
-    share = (F.col("pairs") >= LEAST_PAIRS) & (F.col("same") >= TEMPLATE_SHARE * F.col("pairs"))
-    nodes = counted.groupBy("host", "path").agg(F.sum(F.when(F.col("item") == PAIRS, F.col("n"))).alias("pairs"), F.coalesce(F.sum(F.when(F.col("item") == EQUAL, F.col("n"))), F.lit(0)).alias("same"))
+def induce(pages: DataFrame) -> DataFrame:
+    """(host, layout, template array<long>, met array<long>): marks of template paths and lines, and of paths aligned often enough.
+
+    Every page (host, layout, html) is aligned with two references of its host, those with the least and the greatest hash; the result
+    has layout 0. In hosts with several layouts it is aligned with two references of its layout, too. The arrays are no longer than the
+    paths and lines of two pages, as only what a reference has is counted.
+    """
+    order = F.xxhash64("html")
+    ends = [F.min_by("html", order).alias("one"), F.max_by("html", order).alias("two")]
+    sizes = pages.groupBy("host", "layout").agg(F.count("*").alias("pages"))
+    sizes = sizes.join(sizes.groupBy("host").agg(F.count("*").alias("layouts")), "host")
+    several = staged(sizes.where((F.col("layouts") > 1) & (F.col("pages") >= LEAST_PAGES)).select("host", "layout"), "layouts")
+    counted = _counted(pages, pages.groupBy("host").agg(*ends), ["host"])
+    if not several.isEmpty():
+        own = pages.join(several, ["host", "layout"], "left_semi").groupBy("host", "layout").agg(*ends)
+        counted = counted.unionByName(_counted(pages, own, ["host", "layout"]))
+    counted = staged(counted, "votes")
+    share = F.col("same") >= TEMPLATE_SHARE * F.col("pairs")
+    nodes = counted.groupBy("host", "layout", "path").agg(F.sum(F.when(F.col("item") == PAIRS, F.col("n"))).alias("pairs"), F.coalesce(F.sum(F.when(F.col("item") == EQUAL, F.col("n"))), F.lit(0)).alias("same"))
+    nodes = nodes.where(F.col("pairs") >= LEAST_PAIRS).select("host", "layout", "path", F.when(share, F.col("path")).alias("mark"))
     # A line is judged by the alignments with the references that have it.
-    pairs = counted.where(F.col("item") == PAIRS).select("host", "reference", "path", F.col("n").alias("pairs"))
-    lines = counted.where(F.col("item") > EQUAL).join(pairs, ["host", "reference", "path"]).groupBy("host", "item").agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("same"))
-    found = nodes.where(share).select("host", F.col("path").alias("mark")).unionByName(lines.where(share).select("host", F.col("item").alias("mark")))
-    return found.groupBy("host").agg(F.collect_list("mark").alias("template"))
+    pairs = counted.where(F.col("item") == PAIRS).select("host", "layout", "reference", "path", F.col("n").alias("pairs"))
+    lines = counted.where(F.col("item") > EQUAL).join(pairs, ["host", "layout", "reference", "path"]).groupBy("host", "layout", "item").agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("same"))
+    lines = lines.where((F.col("pairs") >= LEAST_PAIRS) & share).select("host", "layout", F.lit(None).cast("long").alias("path"), F.col("item").alias("mark"))
+    return nodes.unionByName(lines).groupBy("host", "layout").agg(F.collect_list("mark").alias("template"), F.collect_list("path").alias("met"))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -286,15 +338,18 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """
     kind = df.schema[id_col].dataType.simpleString()
     pages = texts_of(df, df[id_col].alias("id"), df[url_col].alias("url"), F.coalesce(df[html_col], F.lit("")).alias("html")).withColumn("host", host_of(F.col("url")))
-    wrappers = staged(induce(pages.select("host", "html")), "wrappers")
-    size = wrappers.agg(F.sum(F.length("host") + 8 * F.size("template")).alias("n")).first()["n"] or 0
+    pages = staged(with_layout(pages), "pages")
+    wrappers = staged(induce(pages.select("host", "layout", "html")), "wrappers")
+    size = wrappers.agg(F.sum(F.length("host") + 8 * (F.size("template") + F.size("met"))).alias("n")).first()["n"] or 0
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [main_text(blocks(page), set(template or ())) for page, template in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                texts = [main_text(blocks(page), *(set(marks or ()) for marks in wrapper)) for page, *wrapper in zip(*(part.column(c).to_pylist() for c in range(2, 6)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    out = _by_host(pages, wrappers, size).select("id", "url", "html", "template").mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
+    out = _by(["host"], pages, wrappers.where("layout = 0").select("host", "template"), size)
+    out = _by(["host", "layout"], out, wrappers.where("layout <> 0").select("host", "layout", F.col("template").alias("own"), "met"), size)
+    out = out.select("id", "url", "html", "template", "own", "met").mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

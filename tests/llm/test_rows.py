@@ -132,6 +132,17 @@ def test_html_articles_are_judged_by_the_template(spark):
     assert all(got[50 + k] == "One article\nunder many menus" for k in range(9))
 
 
+def test_html_every_layout_has_a_template(spark):
+    kinds = ["<div class={1}><div>Keep in touch</div><section>{1} {0}</section><span>{1} rules</span></div>".replace("{1}", c) for c in ("news", "shop", "wiki")]
+    long_ = "".join(f"<div class=g{g}>" + "".join(f"<div class=c{c}>Fixed {g} {c}</div>" for c in range(45)) + "</div>" for g in range(47)) + "<div class=story>story {0}</div>"
+    rows = [(k, "https://h.example.org/x", kinds[k % 3].format(k)) for k in range(45)] + [(90, "https://h.example.org/e", "")]
+    rows += [(100 + k, None, long_.format(k)) for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert [got[k] for k in range(45)] == [f"{('news', 'shop', 'wiki')[k % 3]} {k}" for k in range(45)] and got[90] == ""
+    assert [got[100 + k] for k in range(6)] == [f"story {k}" for k in range(6)]
+
+
 def test_tree_match_counts_aligned_nodes():
     one, two = (html_text.folded(html_text.blocks(h)) for h in ("<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><p>x</p><p>y</p><table><td>q</table></div>"))
     score, matched = html_text.tree_match(one, two)
