@@ -3,7 +3,8 @@
 A paragraph is any run of WINDOW five-word shingles, so that a passage is met wherever it stands in a line. Each band's key is the least
 value of the band's permutation over a paragraph's shingles; paragraphs that follow each other mostly share it, and then it stands once,
 at its shingle. Two paragraphs of similarity s meet with probability 1 - (1 - s)**BANDS, equal ones always. Collisions are joined to the
-first document with the key; those of two documents at one distance are a chain, whose stretches of text are compared word by word,
+first document with the key, and to the first with the key and the words before it or after it, as the first of all may hold the shingle
+in another context (two equal paragraphs agree on one side at least); those of two documents at one distance are a chain, whose stretches of text are compared word by word,
 small gaps bridged, and confirmed on the exact Jaccard similarity of their shingles. The first document keeps a passage, the others lose
 it; components of documents linked so are named by their least id.
 """
@@ -24,14 +25,30 @@ SHINGLE, WINDOW, BANDS = 5, 40, 2
 LEAST_WORDS, LEAST_LIKENESS, GAP = 40, 0.8, 2
 #: Words that are compared beyond the outermost shingles of a chain: a paragraph and a gap at least.
 REACH = 60
+#: Where the shingles of a context stand, counted from the anchor to either side: half a paragraph of LEAST_WORDS at most.
+CONTEXT = (0, 5, 10, 15, 18)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word, key) of every shingle that is the least of a paragraph, for each band; shorter texts are one paragraph."""
+def contexts(keys: np.ndarray, at: np.ndarray, least: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    """31-bit hashes of the words before and after the shingles at ``at``; null where the row, from least to end, has too few."""
+    out = []
+    for side in (-1, 1):
+        edge = at + side * CONTEXT[-1]
+        whole = (edge >= least) & (edge < end)
+        x = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in CONTEXT:
+                x = x * np.uint64(0xD6E8FEB86659FD93) + keys[np.where(whole, at + side * k, 0)]
+        out.append(pa.array((mix(x) >> np.uint64(33)).astype(np.int32), mask=~whole))
+    return out
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """(row, word, key, before, after) of every shingle that is the least of a paragraph, for each band; shorter texts are one paragraph."""
     starts, _, hashes, rows = words(data, offsets)
     keys, of, first = shingles(hashes, rows, SHINGLE)
     if not len(keys):
-        return of, first, keys
+        return of, first, keys, *[pa.array([], pa.int32())] * 2
     counts = np.bincount(rows, minlength=len(offsets) - 1)
     begin = np.cumsum(counts) - counts  # first word of a row
     n = len(keys)
@@ -61,8 +78,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             least = np.zeros(0, np.uint64)
         tails = np.array([low[k : last[k]].min() for k in short.tolist()], dtype=np.uint64)
         at = np.unique(np.concatenate([least, tails]) & mask).astype(np.int64)
-        out.append((of[at], first[at] - begin[of[at]], x[at]))
-    return tuple(np.concatenate(c) for c in zip(*out))
+        out.append((of[at], first[at] - begin[of[at]], x[at], at))
+    row, word, key, at = (np.concatenate(c) for c in zip(*out))
+    return row, word, key, *contexts(keys, at, last[at] - size[row], last[at])
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
@@ -71,12 +89,12 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(2)):
-                row, at, key = anchors(data, offsets)
+                row, at, key, before, after = anchors(data, offsets)
                 if len(row):
                     rows = pa.array(row + a)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(key.view(np.int64))], ["id", "th", "at", "key"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(key.view(np.int64)), before, after], ["id", "th", "at", "key", "before", "after"])
 
-    return texts.select("id", "th", "text").mapInArrow(run, f"id {kind}, th int, at int, key long")
+    return texts.select("id", "th", "text").mapInArrow(run, f"id {kind}, th int, at int, key long, before int, after int")
 
 
 def _stretches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -175,12 +193,19 @@ def _confirmed(chains: DataFrame) -> DataFrame:
 
 
 def repeated_passages(texts: DataFrame) -> DataFrame:
-    """(id, th, first, stop, other, other_th, other_first): passages, in words, that a document shares with the first that has them."""
+    """(id, th, first, stop, other, other_th, other_first): passages, in words, that a document shares with the first that has them.
+
+    Firsts are taken for each key, for each key with its context before and for each with its context after.
+    """
     found = staged(_anchor_rows(texts.where("id is not null")), "anchors")
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("other")).where("n > 1").drop("n")
+    keys = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     met = staged(found.join(keys, "key"), "met")
-    heads = met.where("id = other").groupBy("key").agg(F.min(F.struct("th", "at")).alias("head")).select("key", F.col("head.th").alias("other_th"), F.col("head.at").alias("other_at"))
-    pairs = met.join(heads, "key").where("id <> other or th <> other_th")
+    pairs = None
+    for by in (["key"], ["key", "before"], ["key", "after"]):
+        heads = met.dropna(subset=by).groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("head")).where("n > 1")
+        own = met.join(heads, by).select("id", "th", "at", F.col("head.id").alias("other"), F.col("head.th").alias("other_th"), F.col("head.at").alias("other_at"))
+        own = own.where("id <> other or th <> other_th")
+        pairs = own if pairs is None else pairs.unionByName(own)
     chains = pairs.groupBy("id", "th", "other", "other_th", (F.col("at") - F.col("other_at")).cast("long").alias("distance")).agg(F.min("at").cast("long").alias("lo"), F.max("at").cast("long").alias("hi"))
     chains = staged(chains.withColumn("lo", F.col("lo") - REACH).withColumn("hi", F.col("hi") + SHINGLE + REACH).withColumn("other_lo", F.col("lo") - F.col("distance")).withColumn("other_hi", F.col("hi") - F.col("distance")), "chains")
     own = chains.select("id", "th", F.col("id").alias("own"), F.col("th").alias("own_th"), "other", "other_th", "distance", "lo", "hi", "other_lo", "other_hi")

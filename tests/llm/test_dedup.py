@@ -90,5 +90,31 @@ def test_passages_edges(spark):
     assert remove_passages(df.limit(0)).count() == 0
 
 
+def test_passages_whose_words_stand_in_earlier_documents(spark):
+    rng = random.Random(4)
+    unique = (f"u{k}" for k in range(10**6))
+    own = lambda n: [next(unique) for _ in range(n)]
+    rows, want = [], {}
+    for k in range(30):
+        if k % 2:  # three lines that earlier documents have singly
+            lines = [own(20) for _ in range(3)]
+            passage = sum(lines, [])
+            earlier = [own(30) + line + own(30) for line in lines]
+        else:  # a variant too far from two equal texts
+            passage = own(90)
+            other = list(passage)
+            for at in range(rng.randrange(6), 90, 14):
+                other[at] = next(unique)
+            earlier = [own(10) + other + own(10)]
+        rows += [(1000 * n + k, " ".join(w)) for n, w in enumerate(earlier)]
+        first, second = (own(25), own(25)), (own(25), own(25))
+        rows += [(1000 * (7 + n) + k, " ".join(x + passage + y)) for n, (x, y) in enumerate((first, second))]
+        want[8000 + k] = " ".join(sum(second, []))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["kept"] for r in remove_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {k: got[k] for k in want} == want
+    assert all(got[k] == t for k, t in rows if k < 8000)
+
+
 def test_cut_keeps_other_bytes():
     assert cut("a  b\nc d", [{"lost": True, "first": 1, "stop": 3}])[4] == "a  d"
