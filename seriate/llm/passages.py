@@ -5,7 +5,8 @@ value of the band's permutation over a paragraph's shingles; paragraphs that fol
 at its shingle. Two paragraphs of similarity s meet with probability 1 - (1 - s)**BANDS, equal ones always. Collisions are joined to the
 first document with the key, and to the first with the key and the words before it or after it, as the first of all may hold the shingle
 in another context (two equal paragraphs agree on one side at least); those of two documents at one distance are a chain, whose stretches of text are compared word by word,
-small gaps bridged, and confirmed on the exact Jaccard similarity of their shingles. The first document keeps a passage, the others lose
+small gaps bridged, and confirmed on the exact Jaccard similarity of their shingles; where more shingles are common than that explains, the
+stretches are aligned with insertions and deletions, and the aligned spans are confirmed alike. The first document keeps a passage, the others lose
 it; components of documents linked so are named by their least id.
 """
 
@@ -27,6 +28,8 @@ LEAST_WORDS, LEAST_LIKENESS, GAP = 40, 0.8, 2
 REACH = 60
 #: Where the shingles of a context stand, counted from the anchor to either side: half a paragraph of LEAST_WORDS at most.
 CONTEXT = (0, 5, 10, 15, 18)
+#: How many words an alignment may leave a chain's distance by.
+BAND = 12
 
 
 def contexts(keys: np.ndarray, at: np.ndarray, least: np.ndarray, end: np.ndarray) -> list[pa.Array]:
@@ -154,6 +157,67 @@ def common_passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _segments(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, stop, distance) of equal runs of SHINGLE words or more within BAND: the chain, in order in x and y, with the most words."""
+    found = []
+    for d in range(-BAND, BAND + 1):
+        lo, hi = max(0, -d), min(len(x), len(y) - d)
+        if hi - lo >= SHINGLE:
+            found += [(lo + a, lo + b, d) for a, b in zip(*(e.tolist() for e in _runs(x[lo:hi] == y[lo + d : hi + d]))) if b - a >= SHINGLE]
+    found.sort()
+    best: list[tuple[int, int]] = []  # words of the best chain that ends here, the one before it
+    for k, (a, b, d) in enumerate(found):
+        score, before = b - a, -1
+        for i in range(k):
+            p, q, e = found[i]
+            # Of runs that overlap in x or y, as at a repeated word, the later one is shortened.
+            over = max(0, q - a, q + e - a - d)
+            if p < a and p + e < a + d and b - a - over > 0 and best[i][0] + b - a - over > score:
+                score, before = best[i][0] + b - a - over, i
+        best.append((score, before))
+    chain, k = [], max(range(len(found)), key=lambda i: best[i][0], default=-1)
+    while k >= 0:
+        chain.append(found[k])
+        k = best[k][1]
+    return chain[::-1]
+
+
+def aligned_passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Spans (start, stop, start in y, stop in y) that are like enough and long enough, with words inserted, deleted or replaced."""
+    out = []
+
+    def take(chain: list[tuple[int, int, int]]) -> None:
+        spans = sorted(((b[1] - a[0], i, j) for i, a in enumerate(chain) for j, b in enumerate(chain) if i <= j), reverse=True)
+        for _, i, j in spans:
+            (a, _, d), (_, b, e) = chain[i], chain[j]
+            if min(b - a, b + e - a - d) >= LEAST_WORDS and _likeness(x[a:b], y[a + d : b + e]) >= LEAST_LIKENESS:
+                out.append((a, b, a + d, b + e))
+                take(chain[:i])
+                take(chain[j + 1 :])
+                return
+
+    take(_segments(x, y))
+    return out
+
+
+def shared_passages(x: np.ndarray, y: np.ndarray, lag: int = 0) -> list[tuple[int, int, int, int]]:
+    """Passages (start, stop, start in y, stop in y) of two sequences of word hashes of which y[0] stands ``lag`` words after x[0]'s place."""
+    skip, drop = max(0, lag), max(0, -lag)
+    found = [(skip + a, skip + b, drop + a, drop + b) for a, b in common_passages(x[skip:], y[drop:])]
+    if min(len(x), len(y)) < LEAST_WORDS:
+        return found
+    own, other = (shingles(h, np.zeros(len(h), np.int64), SHINGLE)[0] for h in (x, y))
+    both = np.isin(own, other)
+    # With fewer common shingles no two spans of LEAST_WORDS are like enough.
+    if np.count_nonzero(both) < LEAST_LIKENESS * (LEAST_WORDS - SHINGLE + 1):
+        return found
+    for a, b, _, _ in found:
+        both[a : b - SHINGLE + 1] = False
+    if both.any() or len(found) > 1:
+        found += [(skip + a, skip + b, drop + c, drop + d) for a, b, c, d in aligned_passages(x[skip:], y[drop:])]
+    return found
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of all texts of a column end to end, and where each text's begin and end."""
     found, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -165,9 +229,9 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _confirmed(chains: DataFrame) -> DataFrame:
-    """(id, th, first, stop, other, other_th, other_first) of the passages in chains with both stretches (x, y) of words."""
+    """(id, th, first, stop, other, other_th, other_first, other_stop) of the passages in chains with both stretches (x, y) of words."""
     kind = chains.schema["id"].dataType.simpleString()
-    names = ["id", "th", "first", "stop", "other", "other_th", "other_first"]
+    names = ["id", "th", "first", "stop", "other", "other_th", "other_first", "other_stop"]
 
     def run(batches):
         for batch in batches:
@@ -175,25 +239,20 @@ def _confirmed(chains: DataFrame) -> DataFrame:
             (x, x_cuts), (y, y_cuts) = word_hashes(batch.column(4)), word_hashes(batch.column(5))
             own, other = (np.maximum(0, batch.column(c).to_numpy()) for c in (6, 7))
             ahead = other + batch.column(8).to_numpy() - own
-            # Words of x before the first that y has, too, and the other way round.
-            skip, drop = np.maximum(0, ahead), np.maximum(0, -ahead)
-            x_from, y_from = np.minimum(x_cuts[:-1] + skip, x_cuts[1:]), np.minimum(y_cuts[:-1] + drop, y_cuts[1:])
-            size = np.minimum(x_cuts[1:] - x_from, y_cuts[1:] - y_from)
-            for k in np.flatnonzero(size >= LEAST_WORDS).tolist():
-                n, i, j = int(size[k]), int(x_from[k]), int(y_from[k])
-                for a, b in common_passages(x[i : i + n], y[j : j + n]):
+            for k in np.flatnonzero(np.minimum(np.diff(x_cuts), np.diff(y_cuts)) >= LEAST_WORDS).tolist():
+                for a, b, c, d in shared_passages(x[x_cuts[k] : x_cuts[k + 1]], y[y_cuts[k] : y_cuts[k + 1]], int(ahead[k])):
                     rows.append(k)
-                    spans.append((int(own[k] + skip[k]) + a, int(own[k] + skip[k]) + b, int(other[k] + drop[k]) + a))
+                    spans.append((int(own[k]) + a, int(own[k]) + b, int(other[k]) + c, int(other[k]) + d))
             if rows:
                 at = pa.array(rows)
-                first, stop, there = (pa.array(c, pa.int64()) for c in zip(*spans))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), first, stop, batch.column(2).take(at), batch.column(3).take(at), there], names)
+                first, stop, there, end = (pa.array(c, pa.int64()) for c in zip(*spans))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), first, stop, batch.column(2).take(at), batch.column(3).take(at), there, end], names)
 
-    return chains.select("id", "th", "other", "other_th", "x", "y", "lo", "other_lo", "distance").mapInArrow(run, f"id {kind}, th int, first long, stop long, other {kind}, other_th int, other_first long")
+    return chains.select("id", "th", "other", "other_th", "x", "y", "lo", "other_lo", "distance").mapInArrow(run, f"id {kind}, th int, first long, stop long, other {kind}, other_th int, other_first long, other_stop long")
 
 
 def repeated_passages(texts: DataFrame) -> DataFrame:
-    """(id, th, first, stop, other, other_th, other_first): passages, in words, that a document shares with the first that has them.
+    """(id, th, first, stop, other, other_th, other_first, other_stop): passages, in words, that a document shares with the first that has them.
 
     Firsts are taken for each key, for each key with its context before and for each with its context after.
     """
@@ -233,7 +292,7 @@ def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = staged(repeated_passages(texts.dropDuplicates(["id", "th"]) if _repeats(texts) else texts), "passages")
     linked = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     lost = found.select("id", "th", F.lit(True).alias("lost"), "first", "stop")
-    shared = found.select(F.col("other").alias("id"), F.col("other_th").alias("th"), F.lit(False).alias("lost"), F.col("other_first").alias("first"), (F.col("other_first") + F.col("stop") - F.col("first")).alias("stop")).distinct()
+    shared = found.select(F.col("other").alias("id"), F.col("other_th").alias("th"), F.lit(False).alias("lost"), F.col("other_first").alias("first"), F.col("other_stop").alias("stop")).distinct()
     by_text = lost.unionByName(shared).groupBy("id", "th").agg(F.collect_list(F.struct("lost", "first", "stop")).alias("spans"))
     by_text = by_text.join(linked, "id", "left")
     joined = rows_in.join(by_text, ["id", "th"], "left").select("id", "text", "spans", F.coalesce("component", "id").alias("component"), *extra)

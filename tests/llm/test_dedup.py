@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 
 from seriate.llm import near_duplicates as nd
 from seriate.llm import suffix_dedup as sd
 from seriate.llm.components import components
-from seriate.llm.passages import cut, remove_passages
+from seriate.llm.passages import cut, remove_passages, shared_passages
 
 from . import brute, data
 
@@ -116,5 +117,33 @@ def test_passages_whose_words_stand_in_earlier_documents(spark):
     assert all(got[k] == t for k, t in rows if k < 8000)
 
 
+def test_passages_with_inserted_deleted_and_replaced_words(spark):
+    passage = [f"p{k}" for k in range(70)]
+    edits = [passage[:35] + ["new"] + passage[35:], passage[:35] + passage[36:], passage[:34] + ["x", "y", "z"] + passage[37:], passage[:34] + ["x", "y", "z", "v"] + passage[36:]]
+    rows = [(1, " ".join(["a0", "a1", *passage, "a2"]))]
+    rows += [(k + 2, " ".join([f"b{k}", *edit, f"c{k}", f"d{k}"])) for k, edit in enumerate(edits)]
+    rows.append((9, " ".join(passage[:30] + [f"far{k}" for k in range(30)] + passage[40:])))
+    got = {r["doc_id"]: r for r in remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k + 2]["kept"] for k in range(4)] == [f"b{k} c{k} d{k}" for k in range(4)]
+    assert all(got[k]["component_id"] == 1 for k in range(1, 6)) and got[1]["n_repeated"] == len(" ".join(passage)) + 1
+    assert got[9]["n_removed"] == 0 and got[9]["component_id"] == 9
+
+
+def test_shared_passages_are_like_enough():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(rng.integers(50, 120))
+        passage = rng.integers(1, 1 << 60, n).astype(np.uint64)
+        at, gone, new = int(rng.integers(10, n - 14)), int(rng.integers(0, 4)), int(rng.integers(0, 4))
+        edit = np.concatenate([passage[:at], np.arange(1, new + 1, dtype=np.uint64), passage[at + gone :]])
+        x, y = np.concatenate([[np.uint64(7)] * 6, passage]).astype(np.uint64), np.concatenate([[np.uint64(9)] * 3, edit]).astype(np.uint64)
+        sets = [{tuple(w[k : k + 5].tolist()) for k in range(len(w) - 4)} for w in (passage, edit)]
+        covered = np.zeros(len(x), bool)
+        for a, b, _, _ in shared_passages(x, y, 3):
+            covered[a:b] = True
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]) and len(edit) >= 40:
+            assert covered[6:].all() and not covered[:6].any()
+
+
 def test_cut_keeps_other_bytes():
     assert cut("a  b\nc d", [{"lost": True, "first": 1, "stop": 3}])[4] == "a  d"
