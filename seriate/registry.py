@@ -239,6 +239,12 @@ def flat_map(spark, d):
     return seq.df.select("doc_id", F.col("_sub1").cast("bigint").alias("at"), F.col("text").alias("word"))
 
 
+@query("select doc_id, cast(k - 1 as bigint) as at, w as word from (select doc_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as k from documents) where w <> ''")
+def flat_map_words(spark, d):
+    seq = Seq(table(spark, d, "documents"), "text", "doc_id").flat_map(lambda x: F.split(x, " ")).filter(lambda x: x != "")
+    return seq.df.select("doc_id", F.col("_sub1").cast("bigint").alias("at"), F.col("text").alias("word"))
+
+
 @query("select n_nationkey, unnest(case when n_nationkey = 0 then [n_name] else ['-', n_name] end) as n_name, generate_subscripts(case when n_nationkey = 0 then [n_name] else ['-', n_name] end, 1)::bigint as at from nation")
 def intersperse(spark, d):
     seq = Seq(table(spark, d, "nation"), "n_name", "n_nationkey").intersperse("-")
