@@ -18,7 +18,7 @@ from .common import staged
 #: Samples of a fingerprint: rows are spread over CHUNKS, each with PER samples, which keeps the generated code small.
 CHUNKS, PER = 8, 8
 SAMPLES = CHUNKS * PER
-#: Ranges of ids for each shuffle partition, so that partitions get about the same number of texts.
+#: Ranges of ids, and tasks, for each shuffle partition: a task holds all terms of its texts in hash tables, which small tasks keep small.
 RANGES_PER_PARTITION = 4
 
 _HALF, _UNIT = (1 << 31) - 1, (1 << 25) - 1
@@ -122,6 +122,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("part", range_of(o, F.col("heads"), n)).withColumn("leads", F.element_at("heads", F.col("part") + 1) == o).drop("heads")
     here, before = F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost")), F.struct(F.pmod(F.col("part") - 1, F.lit(n)).cast("int").alias("part"), F.lit(True).alias("ghost"))
     dealt = dealt.select("id", "th", "text", F.explode(F.when(F.col("leads"), F.array(here, before)).otherwise(F.array(here))).alias("to")).select("id", "th", "text", "to.*")
+    dealt = dealt.repartition(n, "part")
     order = Window.partitionBy("part").orderBy("ghost", F.col("id").desc_nulls_last(), F.col("th").desc())
     return dealt.select("part", F.row_number().over(order).alias("own"), "ghost", "id", "text", F.lead("text").over(order).alias("next"))
 
