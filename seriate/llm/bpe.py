@@ -24,9 +24,9 @@ from .common import texts_of
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded chunks that a worker keeps; when full, the memory is cleared and filled anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
 #: Characters of kept parts that are longer than 64 each; beyond it the memory is cleared, too.
-CACHE_CHARS = 20_000_000
+CACHE_CHARS = 8_000_000
 
 _GAP = re.compile(r" (?=\s|\Z)")
 
@@ -62,8 +62,7 @@ class PairIndexBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
-        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._specials(spec)
         self.table: list[bytes] = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, k in vocab.items():
             self.table[k] = token.encode() if token in self.special else bytes(letters[x] for x in token)
@@ -86,6 +85,10 @@ class PairIndexBpe:
         self.pieces: dict[str, bytes] = {}  # pre-tokens
         self.long_chars = 0
 
+    def _specials(self, spec: dict) -> None:
+        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each pre-token, by one pass over the pair occurrence index of all of them."""
         get = self.merges.get

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised helpers take at once; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="seriate-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -55,6 +57,24 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is heavy above this number of rows and above this share of all, so that at most as many keys as its inverse are.
+HEAVY_ROWS, HEAVY_SHARE = 10_000, 0.001
+
+
+def join_heavy(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+    """Join rows to one row for each key, of which column ``n`` counts the rows; a key with very many of them fills no task.
+
+    Heavy keys are at most 1 / HEAVY_SHARE, whatever the size of the data: those are broadcast. The others are joined by a shuffle.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    heavy = F.col(n) > max(HEAVY_ROWS, HEAVY_SHARE * total)
+    few = keyed.where(heavy)
+    if few.isEmpty():
+        return rows.join(keyed, key)
+    light = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(keyed.where(~heavy), key)
+    return light.unionByName(rows.join(F.broadcast(few), key))
+
+
 #: Bits of the filter below: 4 MB, whatever the size of the data.
 FILTER_BITS = 1 << 25
 

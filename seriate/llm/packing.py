@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import array
 import base64
+import json
 import zlib
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import PairIndexBpe, groups_of
+from .bpe import PATTERN, PairIndexBpe, groups_of
 from .common import staged, texts_of
 
 #: A configuration: ((length, how many of it), ...) by falling length.
@@ -173,17 +174,17 @@ def slots(configs: dict[Config, int], capacity: int) -> np.ndarray:
 
 
 class _Ranks(PairIndexBpe):
-    """The same vocabulary with a library's merges for unseen parts; ids equal those of the file's own merges."""
+    """The same vocabulary with a library's merges for unseen parts; ids equal those of the file's own merges, which are not kept here."""
 
     def __init__(self, path: str, ranks: str):
-        super().__init__(path)
         import tiktoken
 
+        with open(path, encoding="utf-8") as f:
+            self._specials(json.load(f))
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        from .bpe import PATTERN
-
         self.core = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        self.spaced, self.pieces, self.long_chars = {}, {}, 0
 
     def ids_of(self, chunks: list[str]) -> list[bytes]:
         one = self.core.encode_ordinary

@@ -1,13 +1,14 @@
 """Operator 10: removal of passages that repeat across documents, by MinHash banding of paragraphs.
 
-A paragraph is any run of WINDOW five-word shingles, so that a passage is met wherever it stands in a line. Each band's key is the least
-value of the band's permutation over a paragraph's shingles; paragraphs that follow each other mostly share it, and then it stands once,
-at its shingle. Two paragraphs of similarity s meet with probability 1 - (1 - s)**BANDS, equal ones always. Collisions are joined to the
-first document with the key, and to the first with the key and the words before it or after it, as the first of all may hold the shingle
-in another context (two equal paragraphs agree on one side at least); those of two documents at one distance are a chain, whose stretches of text are compared word by word,
-small gaps bridged, and confirmed on the exact Jaccard similarity of their shingles; where more shingles are common than that explains, the
-stretches are aligned with insertions and deletions, and the aligned spans are confirmed alike. The first document keeps a passage, the others lose
-it; components of documents linked so are named by their least id.
+A paragraph is any run of WINDOW five-word shingles, so that a passage is met wherever it stands in a line. A band picks the least value
+of its permutation over a paragraph's shingles; paragraphs that follow each other mostly pick the same. Its key is that value with the
+least one of the SIDE shingles before it, and, as a second key, of those after it, so that a common phrase in another context is no
+collision; a paragraph holds one of both sides whole. Besides, of every LEAST_EQUAL words one run of EQUAL words is a key, so that equal
+passages meet whatever else holds their parts. Collisions are joined to the first document with the key; those of two documents at one
+distance are a chain, whose stretches are compared word by word, small gaps bridged, and confirmed on the exact Jaccard similarity of
+their shingles; where more shingles are common than that explains, the stretches are aligned with insertions and deletions, and the
+aligned spans are confirmed alike. The first document keeps a passage, the others lose it; components of documents linked so are named
+by their least id.
 """
 
 from __future__ import annotations
@@ -17,73 +18,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingles, staged, text_slices, texts_of, words
+from .common import join_heavy, mix, shingles, staged, text_slices, texts_of, words
 from .components import components
 
 #: Words of a shingle, shingles of a paragraph, bands of one permutation each.
 SHINGLE, WINDOW, BANDS = 5, 40, 2
+#: Shingles before or after a key's own of which the least is part of the key: half a paragraph has as many on one side at least.
+SIDE = 16
+#: Words of a run that is a key by itself, and the words of a passage that holds a picked run for certain.
+EQUAL, LEAST_EQUAL = 28, 51
 #: The least words of a passage, the least similarity, and the longest gap (in words) bridged within it.
 LEAST_WORDS, LEAST_LIKENESS, GAP = 40, 0.8, 2
-#: Words that are compared beyond the outermost shingles of a chain: a paragraph and a gap at least.
+#: Words that are compared beyond the outermost keys of a chain: a paragraph and a gap at least.
 REACH = 60
-#: Where the shingles of a context stand, counted from the anchor to either side: half a paragraph of LEAST_WORDS at most.
-CONTEXT = (0, 5, 10, 15, 18)
 #: How many words an alignment may leave a chain's distance by.
 BAND = 12
 
 
-def contexts(keys: np.ndarray, at: np.ndarray, least: np.ndarray, end: np.ndarray) -> list[pa.Array]:
-    """31-bit hashes of the words before and after the shingles at ``at``; null where the row, from least to end, has too few."""
-    out = []
-    for side in (-1, 1):
-        edge = at + side * CONTEXT[-1]
-        whole = (edge >= least) & (edge < end)
-        x = np.zeros(len(at), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in CONTEXT:
-                x = x * np.uint64(0xD6E8FEB86659FD93) + keys[np.where(whole, at + side * k, 0)]
-        out.append(pa.array((mix(x) >> np.uint64(33)).astype(np.int32), mask=~whole))
-    return out
+def minima(x: np.ndarray, of: np.ndarray, window: int) -> np.ndarray:
+    """Places in x that hold the least of some run of ``window`` values of one row; a row with fewer values is one run."""
+    n = len(x)
+    if not n:
+        return np.zeros(0, np.int64)
+    bits = np.uint64(max(1, n.bit_length()))
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    low = (x & ~mask) | np.arange(n, dtype=np.uint64)
+    lead = np.ones(n, bool)
+    lead[1:] = of[1:] != of[:-1]
+    begin = np.flatnonzero(lead)
+    stop = np.append(begin[1:], n)
+    step, ahead = 1, low
+    while 2 * step <= window and len(ahead) > step:
+        ahead = np.minimum(ahead[:-step], ahead[step:])
+        step *= 2
+    rest = window - step
+    found = []
+    if step * 2 > window and len(ahead) > rest:
+        ahead = np.minimum(ahead[: len(ahead) - rest], ahead[rest:]) if rest else ahead
+        found.append(ahead[of[: len(ahead)] == of[window - 1 : window - 1 + len(ahead)]])
+    short = stop - begin < window
+    found.append(np.array([low[a:b].min() for a, b in zip(begin[short].tolist(), stop[short].tolist())], dtype=np.uint64))
+    return np.unique(np.concatenate(found) & mask).astype(np.int64)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """(row, word, key, before, after) of every shingle that is the least of a paragraph, for each band; shorter texts are one paragraph."""
-    starts, _, hashes, rows = words(data, offsets)
-    keys, of, first = shingles(hashes, rows, SHINGLE)
-    if not len(keys):
-        return of, first, keys, *[pa.array([], pa.int32())] * 2
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, key) of what texts are met by: paragraphs' least shingles with the least one before or after them, and equal runs."""
+    _, _, hashes, rows = words(data, offsets)
     counts = np.bincount(rows, minlength=len(offsets) - 1)
     begin = np.cumsum(counts) - counts  # first word of a row
-    n = len(keys)
-    out = []
-    index = np.arange(n, dtype=np.uint64)
-    bits = np.uint64(max(1, n.bit_length()))
-    mask = (np.uint64(1) << bits) - np.uint64(1)
+    keys, of, first = shingles(hashes, rows, SHINGLE)
+    n, out = len(keys), []
     size = np.bincount(of, minlength=len(offsets) - 1)
-    last = np.cumsum(size)[of]  # where a row's shingles end
-    long_ = np.arange(n) + WINDOW <= last
-    lead = np.ones(n, bool)
-    lead[1:] = of[1:] != of[:-1]
-    short = np.flatnonzero(lead & (size[of] < WINDOW))
+    last = np.cumsum(size)  # where a row's shingles end
     for band in range(BANDS):
         with np.errstate(over="ignore"):
             x = mix(keys * np.uint64(2 * (0x7FEB352D + 0x846CA68B * band) + 1) + np.uint64(band))
-        low = (x & ~mask) | index
-        step, ahead = 1, low
-        while 2 * step <= WINDOW and len(ahead) > step:
-            ahead = np.minimum(ahead[:-step], ahead[step:])
+        at = minima(x, of, WINDOW)
+        least = x.copy()
+        step = 1
+        while 2 * step <= SIDE:
+            least[: n - step] = np.minimum(least[: n - step], least[step:])
             step *= 2
-        rest = WINDOW - step
-        if len(ahead) > rest >= 0 and step * 2 > WINDOW:
-            ahead = np.minimum(ahead[: len(ahead) - rest], ahead[rest:]) if rest else ahead
-            least = ahead[np.flatnonzero(long_[: len(ahead)])]
-        else:
-            least = np.zeros(0, np.uint64)
-        tails = np.array([low[k : last[k]].min() for k in short.tolist()], dtype=np.uint64)
-        at = np.unique(np.concatenate([least, tails]) & mask).astype(np.int64)
-        out.append((of[at], first[at] - begin[of[at]], x[at], at))
-    row, word, key, at = (np.concatenate(c) for c in zip(*out))
-    return row, word, key, *contexts(keys, at, last[at] - size[row], last[at])
+        for side, place in ((0, at - SIDE), (1, at + 1)):
+            whole = (place >= last[of[at]] - size[of[at]]) & (place + SIDE <= last[of[at]])
+            own = at[whole]
+            with np.errstate(over="ignore"):
+                key = mix(x[own] * np.uint64(0xD6E8FEB86659FD93) + least[place[whole]] * np.uint64(2) + np.uint64(side))
+            out.append((of[own], first[own] - begin[of[own]], key))
+    runs, of, first = shingles(hashes, rows, EQUAL)
+    at = minima(runs, of, LEAST_EQUAL - EQUAL + 1)
+    out.append((of[at], first[at] - begin[of[at]], runs[at]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
@@ -92,33 +97,40 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(2)):
-                row, at, key, before, after = anchors(data, offsets)
+                row, at, key = anchors(data, offsets)
                 if len(row):
                     rows = pa.array(row + a)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(key.view(np.int64)), before, after], ["id", "th", "at", "key", "before", "after"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(key.view(np.int64))], ["id", "th", "at", "key"])
 
-    return texts.select("id", "th", "text").mapInArrow(run, f"id {kind}, th int, at int, key long, before int, after int")
+    return texts.select("id", "th", "text").mapInArrow(run, f"id {kind}, th int, at int, key long")
 
 
 def _stretches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Add ``words``, the words from ``lo`` to ``hi`` of the text named by (id, th), to rows that ask for them."""
-    keep = [c for c in wanted.columns if c not in ("id", "th")]
-    schema = ", ".join(f"`{c}` {wanted.schema[c].dataType.simpleString()}" for c in keep)
-    lo, hi = keep.index("lo"), keep.index("hi")
+    """(id, th, lo, hi, hashes) of the wanted stretches (id, th, lo, hi): 64-bit word hashes. Each text is read once for all of its own."""
+    by_text = wanted.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
+    kind = wanted.schema["id"].dataType.simpleString()
+    names = ["id", "th", "lo", "hi", "hashes"]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found: list[str] = []
-                before, own = None, []
-                for text, a, b in zip(part.column(len(keep)), part.column(lo).to_pylist(), part.column(hi).to_pylist()):
-                    if before is None or not text.equals(before):
-                        before, own = text, (text.as_py() or "").encode().split()
-                    found.append(b" ".join(own[max(0, a) : b]).decode())
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(found, pa.string())], [*keep, "words"])
-
-    return wanted.join(texts, ["id", "th"]).select(*keep, "text").mapInArrow(run, f"{schema}, words string")
+            asked = batch.column(2)
+            for a, b, data, offsets in text_slices(batch.column(3)):
+                _, _, hashes, rows = words(data, offsets)
+                cuts = np.searchsorted(rows, np.arange(b - a + 1))
+                own = asked.slice(a, b - a)
+                many = np.diff(own.offsets.to_numpy())
+                spans = own.flatten()
+                lo, hi = spans.field("lo"), spans.field("hi")
+                row = np.repeat(np.arange(b - a), many)
+                begin = np.minimum(np.maximum(lo.to_numpy(), 0) + cuts[row], cuts[row + 1])
+                stop = np.maximum(np.minimum(hi.to_numpy() + cuts[row], cuts[row + 1]), begin)
+                at = pa.array(row + a)
+                for k in range(0, len(row), 2000):
+                    part = slice(k, k + 2000)
+                    found = [hashes[x:y].tobytes() for x, y in zip(begin[part].tolist(), stop[part].tolist())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at[part]), batch.column(1).take(at[part]), lo[part], hi[part], pa.array(found, pa.binary())], names)
+
+    return texts.join(by_text, ["id", "th"]).select("id", "th", "own", "text").mapInArrow(run, f"id {kind}, th int, lo long, hi long, hashes binary")
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,31 +230,22 @@ def shared_passages(x: np.ndarray, y: np.ndarray, lag: int = 0) -> list[tuple[in
     return found
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of all texts of a column end to end, and where each text's begin and end."""
-    found, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for a, b, data, offsets in text_slices(column):
-        _, _, hashes, rows = words(data, offsets)
-        found.append(hashes)
-        counts.append(np.bincount(rows, minlength=b - a))
-    return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
-
-
 def _confirmed(chains: DataFrame) -> DataFrame:
-    """(id, th, first, stop, other, other_th, other_first, other_stop) of the passages in chains with both stretches (x, y) of words."""
+    """(id, th, first, stop, other, other_th, other_first, other_stop) of the passages in chains with both stretches (x, y) of word hashes."""
     kind = chains.schema["id"].dataType.simpleString()
     names = ["id", "th", "first", "stop", "other", "other_th", "other_first", "other_stop"]
 
     def run(batches):
         for batch in batches:
             rows, spans = [], []
-            (x, x_cuts), (y, y_cuts) = word_hashes(batch.column(4)), word_hashes(batch.column(5))
             own, other = (np.maximum(0, batch.column(c).to_numpy()) for c in (6, 7))
             ahead = other + batch.column(8).to_numpy() - own
-            for k in np.flatnonzero(np.minimum(np.diff(x_cuts), np.diff(y_cuts)) >= LEAST_WORDS).tolist():
-                for a, b, c, d in shared_passages(x[x_cuts[k] : x_cuts[k + 1]], y[y_cuts[k] : y_cuts[k + 1]], int(ahead[k])):
-                    rows.append(k)
-                    spans.append((int(own[k]) + a, int(own[k]) + b, int(other[k]) + c, int(other[k]) + d))
+            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = (np.frombuffer(c.as_buffer(), np.uint64) for c in (x, y))
+                if min(len(x), len(y)) >= LEAST_WORDS:
+                    for a, b, c, d in shared_passages(x, y, int(ahead[k])):
+                        rows.append(k)
+                        spans.append((int(own[k]) + a, int(own[k]) + b, int(other[k]) + c, int(other[k]) + d))
             if rows:
                 at = pa.array(rows)
                 first, stop, there, end = (pa.array(c, pa.int64()) for c in zip(*spans))
@@ -252,27 +255,18 @@ def _confirmed(chains: DataFrame) -> DataFrame:
 
 
 def repeated_passages(texts: DataFrame) -> DataFrame:
-    """(id, th, first, stop, other, other_th, other_first, other_stop): passages, in words, that a document shares with the first that has them.
-
-    Firsts are taken for each key, for each key with its context before and for each with its context after.
-    """
+    """(id, th, first, stop, other, other_th, other_first, other_stop): passages, in words, that a document shares with the first that has a key."""
     found = staged(_anchor_rows(texts.where("id is not null")), "anchors")
-    keys = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    met = staged(found.join(keys, "key"), "met")
-    pairs = None
-    for by in (["key"], ["key", "before"], ["key", "after"]):
-        heads = met.dropna(subset=by).groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("head")).where("n > 1")
-        own = met.join(heads, by).select("id", "th", "at", F.col("head.id").alias("other"), F.col("head.th").alias("other_th"), F.col("head.at").alias("other_at"))
-        own = own.where("id <> other or th <> other_th")
-        pairs = own if pairs is None else pairs.unionByName(own)
-    chains = pairs.groupBy("id", "th", "other", "other_th", (F.col("at") - F.col("other_at")).cast("long").alias("distance")).agg(F.min("at").cast("long").alias("lo"), F.max("at").cast("long").alias("hi"))
+    heads = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("head")).where("n > 1")
+    own = join_heavy(found, staged(heads, "heads"), "key", "n").select("id", "th", "at", F.col("head.id").alias("other"), F.col("head.th").alias("other_th"), F.col("head.at").alias("other_at"))
+    own = own.where("id <> other or th <> other_th")
+    chains = own.groupBy("id", "th", "other", "other_th", (F.col("at") - F.col("other_at")).cast("long").alias("distance")).agg(F.min("at").cast("long").alias("lo"), F.max("at").cast("long").alias("hi"))
     chains = staged(chains.withColumn("lo", F.col("lo") - REACH).withColumn("hi", F.col("hi") + SHINGLE + REACH).withColumn("other_lo", F.col("lo") - F.col("distance")).withColumn("other_hi", F.col("hi") - F.col("distance")), "chains")
-    own = chains.select("id", "th", F.col("id").alias("own"), F.col("th").alias("own_th"), "other", "other_th", "distance", "lo", "hi", "other_lo", "other_hi")
-    left = _stretches(texts, own).withColumnRenamed("words", "x")
-    asked = chains.select(F.col("other").alias("id"), F.col("other_th").alias("th"), F.col("other_lo").alias("lo"), F.col("other_hi").alias("hi")).distinct()
-    asked = asked.select("id", "th", F.col("id").alias("other"), F.col("th").alias("other_th"), "lo", "hi")
-    right = _stretches(texts, asked).select("other", "other_th", F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), F.col("words").alias("y"))
-    both = left.join(right, ["other", "other_th", "other_lo", "other_hi"]).withColumnsRenamed({"own": "id", "own_th": "th"})
+    there = ["other", "other_th", "other_lo", "other_hi"]
+    wanted = chains.select("id", "th", "lo", "hi").unionByName(chains.select(*(F.col(c).alias(c.removeprefix("other_") if c != "other" else "id") for c in there)))
+    read = staged(_stretches(texts, wanted), "stretches")
+    both = chains.join(read.withColumnRenamed("hashes", "x"), ["id", "th", "lo", "hi"])
+    both = both.join(read.toDF(*there, "y"), there)
     return _confirmed(both)
 
 

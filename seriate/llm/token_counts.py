@@ -24,7 +24,7 @@ from .common import texts_of
 #: Fixed values of the vocabulary files: the mark that stands for a space, and what an unknown costs below the least score.
 MARK, UNKNOWN_PENALTY = "▁", 10.0
 #: Words that a worker keeps.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
 
 _GAPS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 

@@ -152,7 +152,7 @@ def with_features(df: DataFrame, lexicons: list[frozenset[str]], keep: list[str]
                 rows = np.array([features(t or "", shared.value[k], known[k]) for t, k in zip(texts, folds)]).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(width)), *(pa.array(rows[:, k]) for k in range(len(FEATURES)))], [*keep, *FEATURES])
                 for own in known.values():
-                    if len(own) > 500_000:
+                    if len(own) > 100_000:
                         own.clear()
 
     fold = F.col(fold_col) if fold_col else F.lit(-1)
