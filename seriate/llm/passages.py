@@ -31,8 +31,10 @@ EQUAL, LEAST_EQUAL = 28, 51
 LEAST_WORDS, LEAST_LIKENESS, GAP = 40, 0.8, 2
 #: Words that are compared beyond the outermost keys of a chain: a paragraph and a gap at least.
 REACH = 60
-#: How many words an alignment may leave a chain's distance by.
-BAND = 12
+#: Common shingles outside the passages found at one distance that call for an alignment.
+LEAST_MORE = 16
+#: How many words an alignment may leave a chain's distance by, and how far apart distances of one chain are at most.
+BAND, LANE = 20, 16
 
 
 def minima(x: np.ndarray, of: np.ndarray, window: int) -> np.ndarray:
@@ -169,65 +171,95 @@ def common_passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _segments(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, stop, distance) of equal runs of SHINGLE words or more within BAND: the chain, in order in x and y, with the most words."""
-    found = []
-    for d in range(-BAND, BAND + 1):
-        lo, hi = max(0, -d), min(len(x), len(y) - d)
-        if hi - lo >= SHINGLE:
-            found += [(lo + a, lo + b, d) for a, b in zip(*(e.tolist() for e in _runs(x[lo:hi] == y[lo + d : hi + d]))) if b - a >= SHINGLE]
-    found.sort()
+def _segments(x: np.ndarray, y: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, stop, distance) of equal runs of SHINGLE words or more within BAND: the chain, in order in x and y, with the most words.
+
+    ``own`` and ``other`` are the shingles of x and y; equal ones are found by sorting, not diagonal by diagonal.
+    """
+    order = np.argsort(other, kind="stable")
+    ranked = other[order]
+    low, high = np.searchsorted(ranked, own), np.searchsorted(ranked, own, side="right")
+    many = high - low
+    i = np.repeat(np.arange(len(own)), many)
+    d = order[np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(i))] - i
+    near = np.abs(d) <= BAND
+    i, d = i[near], d[near]
+    if not len(i):
+        return []
+    line = np.lexsort((i, d))
+    i, d = i[line], d[line]
+    cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(d) != 0)) + 1
+    first, last = i[np.append(0, cut)], i[np.append(cut, len(i)) - 1]
+    found = sorted(zip(first.tolist(), (last + SHINGLE).tolist(), d[np.append(0, cut)].tolist()))
+    most: list[int] = []
     best: list[tuple[int, int]] = []  # words of the best chain that ends here, the one before it
-    for k, (a, b, d) in enumerate(found):
+    for k, (a, b, e) in enumerate(found):
         score, before = b - a, -1
-        for i in range(k):
-            p, q, e = found[i]
+        for j in range(k - 1, -1, -1):
+            if most[j] + b - a <= score:
+                break
+            p, q, f = found[j]
             # Of runs that overlap in x or y, as at a repeated word, the later one is shortened.
-            over = max(0, q - a, q + e - a - d)
-            if p < a and p + e < a + d and b - a - over > 0 and best[i][0] + b - a - over > score:
-                score, before = best[i][0] + b - a - over, i
+            over = max(0, q - a, q + f - a - e)
+            if p < a and p + f < a + e and b - a - over > 0 and best[j][0] + b - a - over > score:
+                score, before = best[j][0] + b - a - over, j
         best.append((score, before))
-    chain, k = [], max(range(len(found)), key=lambda i: best[i][0], default=-1)
+        most.append(max(score, most[-1] if most else 0))
+    chain, k = [], max(range(len(found)), key=lambda j: best[j][0])
     while k >= 0:
         chain.append(found[k])
         k = best[k][1]
     return chain[::-1]
 
 
-def aligned_passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Spans (start, stop, start in y, stop in y) that are like enough and long enough, with words inserted, deleted or replaced."""
+def aligned_passages(x: np.ndarray, y: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Spans (start, stop, start in y, stop in y) that are like enough and long enough, with words inserted, deleted or replaced.
+
+    Likeness is that of their aligned shingles: those equal in order, over those of either span.
+    """
+    chain = _segments(x, y, own, other)
+    many = np.cumsum([0, *(b - a - SHINGLE + 1 for a, b, _ in chain)]).tolist()
     out = []
 
-    def take(chain: list[tuple[int, int, int]]) -> None:
-        spans = sorted(((b[1] - a[0], i, j) for i, a in enumerate(chain) for j, b in enumerate(chain) if i <= j), reverse=True)
-        for _, i, j in spans:
+    def take(low: int, high: int) -> None:
+        longest = (0, 0, 0)
+        for i in range(low, high):
+            a, _, d = chain[i]
+            for j in range(high - 1, i - 1, -1):
+                _, b, e = chain[j]
+                if b - a <= longest[0]:
+                    break
+                one, two, same = b - a, b + e - a - d, many[j + 1] - many[i]
+                if min(one, two) >= LEAST_WORDS and same >= LEAST_LIKENESS * (one + two - 2 * SHINGLE + 2 - same):
+                    longest = (one, i, j)
+                    break
+        if longest[0]:
+            _, i, j = longest
             (a, _, d), (_, b, e) = chain[i], chain[j]
-            if min(b - a, b + e - a - d) >= LEAST_WORDS and _likeness(x[a:b], y[a + d : b + e]) >= LEAST_LIKENESS:
-                out.append((a, b, a + d, b + e))
-                take(chain[:i])
-                take(chain[j + 1 :])
-                return
+            out.append((a, b, a + d, b + e))
+            take(low, i)
+            take(j + 1, high)
 
-    take(_segments(x, y))
+    take(0, len(chain))
     return out
 
 
 def shared_passages(x: np.ndarray, y: np.ndarray, lag: int = 0) -> list[tuple[int, int, int, int]]:
     """Passages (start, stop, start in y, stop in y) of two sequences of word hashes of which y[0] stands ``lag`` words after x[0]'s place."""
     skip, drop = max(0, lag), max(0, -lag)
-    found = [(skip + a, skip + b, drop + a, drop + b) for a, b in common_passages(x[skip:], y[drop:])]
-    if min(len(x), len(y)) < LEAST_WORDS:
-        return found
-    own, other = (shingles(h, np.zeros(len(h), np.int64), SHINGLE)[0] for h in (x, y))
-    both = np.isin(own, other)
-    # With fewer common shingles no two spans of LEAST_WORDS are like enough.
-    if np.count_nonzero(both) < LEAST_LIKENESS * (LEAST_WORDS - SHINGLE + 1):
-        return found
-    for a, b, _, _ in found:
-        both[a : b - SHINGLE + 1] = False
-    if both.any() or len(found) > 1:
-        found += [(skip + a, skip + b, drop + c, drop + d) for a, b, c, d in aligned_passages(x[skip:], y[drop:])]
-    return found
+    x, y = x[skip:], y[drop:]
+    found = [(a, b, a, b) for a, b in common_passages(x, y)]
+    if min(len(x), len(y)) >= LEAST_WORDS and (x.size != y.size or found != [(0, len(x), 0, len(y))]):
+        row = np.zeros(max(len(x), len(y)), np.int64)
+        own, other = shingles(x, row[: len(x)], SHINGLE)[0], shingles(y, row[: len(y)], SHINGLE)[0]
+        both = np.isin(own, other)
+        for a, b, _, _ in found:
+            both[max(0, a - SHINGLE + 1) : b] = False
+        # What is left must hold a passage, or lengthen one by as many words as one has at least on a side of a change.
+        if np.count_nonzero(both) >= LEAST_MORE:
+            more = aligned_passages(x, y, own, other)
+            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _, _ in more)] + more
+    return [(skip + a, skip + b, drop + c, drop + d) for a, b, c, d in found]
 
 
 def _confirmed(chains: DataFrame) -> DataFrame:
@@ -260,8 +292,11 @@ def repeated_passages(texts: DataFrame) -> DataFrame:
     heads = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("head")).where("n > 1")
     own = join_heavy(found, staged(heads, "heads"), "key", "n").select("id", "th", "at", F.col("head.id").alias("other"), F.col("head.th").alias("other_th"), F.col("head.at").alias("other_at"))
     own = own.where("id <> other or th <> other_th")
-    chains = own.groupBy("id", "th", "other", "other_th", (F.col("at") - F.col("other_at")).cast("long").alias("distance")).agg(F.min("at").cast("long").alias("lo"), F.max("at").cast("long").alias("hi"))
-    chains = staged(chains.withColumn("lo", F.col("lo") - REACH).withColumn("hi", F.col("hi") + SHINGLE + REACH).withColumn("other_lo", F.col("lo") - F.col("distance")).withColumn("other_hi", F.col("hi") - F.col("distance")), "chains")
+    lane = F.floor((F.col("at") - F.col("other_at")) / LANE)
+    ends = lambda at: [F.min(at).cast("long") - REACH, F.max(at).cast("long") + EQUAL + REACH]
+    spans = [e.alias(n) for e, n in zip([*ends("at"), *ends("other_at")], ["lo", "hi", "other_lo", "other_hi"])]
+    chains = own.groupBy("id", "th", "other", "other_th", lane.alias("lane")).agg(F.mode(F.col("at") - F.col("other_at"), deterministic=True).cast("long").alias("distance"), *spans)
+    chains = staged(chains.drop("lane"), "chains")
     there = ["other", "other_th", "other_lo", "other_hi"]
     wanted = chains.select("id", "th", "lo", "hi").unionByName(chains.select(*(F.col(c).alias(c.removeprefix("other_") if c != "other" else "id") for c in there)))
     read = staged(_stretches(texts, wanted), "stretches")
