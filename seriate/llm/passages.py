@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_heavy, mix, shingles, staged, text_slices, texts_of, words
+from .common import discard, join_heavy, mix, shingles, staged, text_slices, texts_of, words
 from .components import components
 
 #: Words of a shingle, shingles of a paragraph, bands of one permutation each.
@@ -31,8 +31,6 @@ EQUAL, LEAST_EQUAL = 28, 51
 LEAST_WORDS, LEAST_LIKENESS, GAP = 40, 0.8, 2
 #: Words that are compared beyond the outermost keys of a chain: a paragraph and a gap at least.
 REACH = 60
-#: Common shingles outside the passages found at one distance that call for an alignment.
-LEAST_MORE = 16
 #: How many words an alignment may leave a chain's distance by, and how far apart distances of one chain are at most.
 BAND, LANE = 20, 16
 
@@ -230,7 +228,7 @@ def aligned_passages(x: np.ndarray, y: np.ndarray, own: np.ndarray, other: np.nd
                 if b - a <= longest[0]:
                     break
                 one, two, same = b - a, b + e - a - d, many[j + 1] - many[i]
-                if min(one, two) >= LEAST_WORDS and same >= LEAST_LIKENESS * (one + two - 2 * SHINGLE + 2 - same):
+                if min(one, two) >= LEAST_WORDS and same >= LEAST_LIKENESS * (one + two - 2 * SHINGLE + 2 - same) - 1e-9:
                     longest = (one, i, j)
                     break
         if longest[0]:
@@ -253,10 +251,11 @@ def shared_passages(x: np.ndarray, y: np.ndarray, lag: int = 0) -> list[tuple[in
         row = np.zeros(max(len(x), len(y)), np.int64)
         own, other = shingles(x, row[: len(x)], SHINGLE)[0], shingles(y, row[: len(y)], SHINGLE)[0]
         both = np.isin(own, other)
+        enough = np.count_nonzero(both) >= LEAST_LIKENESS * (LEAST_WORDS - SHINGLE + 1)
         for a, b, _, _ in found:
             both[max(0, a - SHINGLE + 1) : b] = False
-        # What is left must hold a passage, or lengthen one by as many words as one has at least on a side of a change.
-        if np.count_nonzero(both) >= LEAST_MORE:
+        # Common shingles outside of what was found at one distance make a passage or lengthen one; two passages may be one.
+        if enough and (both.any() or len(found) > 1):
             more = aligned_passages(x, y, own, other)
             found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _, _ in more)] + more
     return [(skip + a, skip + b, drop + c, drop + d) for a, b, c, d in found]
@@ -290,13 +289,15 @@ def repeated_passages(texts: DataFrame) -> DataFrame:
     """(id, th, first, stop, other, other_th, other_first, other_stop): passages, in words, that a document shares with the first that has a key."""
     found = staged(_anchor_rows(texts.where("id is not null")), "anchors")
     heads = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("head")).where("n > 1")
-    own = join_heavy(found, staged(heads, "heads"), "key", "n").select("id", "th", "at", F.col("head.id").alias("other"), F.col("head.th").alias("other_th"), F.col("head.at").alias("other_at"))
+    heads = staged(heads, "heads")
+    own = join_heavy(found, heads, "key", "n").select("id", "th", "at", F.col("head.id").alias("other"), F.col("head.th").alias("other_th"), F.col("head.at").alias("other_at"))
     own = own.where("id <> other or th <> other_th")
     lane = F.floor((F.col("at") - F.col("other_at")) / LANE)
     ends = lambda at: [F.min(at).cast("long") - REACH, F.max(at).cast("long") + EQUAL + REACH]
     spans = [e.alias(n) for e, n in zip([*ends("at"), *ends("other_at")], ["lo", "hi", "other_lo", "other_hi"])]
     chains = own.groupBy("id", "th", "other", "other_th", lane.alias("lane")).agg(F.mode(F.col("at") - F.col("other_at"), deterministic=True).cast("long").alias("distance"), *spans)
     chains = staged(chains.drop("lane"), "chains")
+    discard(found, heads)
     there = ["other", "other_th", "other_lo", "other_hi"]
     wanted = chains.select("id", "th", "lo", "hi").unionByName(chains.select(*(F.col(c).alias(c.removeprefix("other_") if c != "other" else "id") for c in there)))
     read = staged(_stretches(texts, wanted), "stretches")
