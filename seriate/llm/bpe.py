@@ -186,13 +186,17 @@ class PairIndexBpe:
         out.append(own)
         return out
 
+    def forget(self) -> None:
+        """Empty the memory of encoded parts."""
+        self.spaced.clear()
+        self.pieces.clear()
+        self.long_chars = 0
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, little-endian with four bytes each."""
         spaced, special = self.spaced, self.special
         if len(spaced) + len(self.pieces) > CACHE_ENTRIES or self.long_chars > CACHE_CHARS:
-            spaced.clear()
-            self.pieces.clear()
-            self.long_chars = 0
+            self.forget()
         get = spaced.get
         heads: list[str] = []
         jobs: list[tuple[int, int, list[str], list[bytes | None]]] = []  # text, its first part's place in heads, the other parts, their ids

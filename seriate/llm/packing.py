@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .bpe import PATTERN, PairIndexBpe, groups_of
 from .common import staged, texts_of
 
+#: Characters that are encoded at once.
+GROUP_CHARS = 1_000_000
 #: A configuration: ((length, how many of it), ...) by falling length.
 Config = tuple[tuple[int, int], ...]
 
@@ -176,11 +178,10 @@ def slots(configs: dict[Config, int], capacity: int) -> np.ndarray:
 class _Ranks(PairIndexBpe):
     """The same vocabulary with a library's merges for unseen parts; ids equal those of the file's own merges, which are not kept here."""
 
-    def __init__(self, path: str, ranks: str):
+    def __init__(self, specials: list[dict], ranks: str):
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            self._specials(json.load(f))
+        self._specials({"added_tokens": specials})
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.core = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
@@ -194,9 +195,9 @@ class _Ranks(PairIndexBpe):
 _RANKS: dict[str, PairIndexBpe] = {}
 
 
-def _encoder(tokenizer: str, ranks: str | None) -> PairIndexBpe:
+def _encoder(tokenizer: str, ranks: str | None, specials: list[dict]) -> PairIndexBpe:
     if tokenizer not in _RANKS:
-        _RANKS[tokenizer] = _Ranks(tokenizer, ranks) if ranks else PairIndexBpe(tokenizer)
+        _RANKS[tokenizer] = _Ranks(specials, ranks) if ranks else PairIndexBpe(tokenizer)
     return _RANKS[tokenizer]
 
 
@@ -209,14 +210,17 @@ def pieces(df: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     kind = df.schema[id_col].dataType.simpleString()
     names = ["id", "piece", "start", "length", "ids_crc32", "part", "number"]
 
+    with open(tokenizer, encoding="utf-8") as f:
+        specials = json.load(f).get("added_tokens", [])  # read once, as the whole file takes much memory in a worker
+
     def run(batches):
-        bpe = _encoder(tokenizer, ranks)
+        bpe = _encoder(tokenizer, ranks, specials)
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in groups_of(texts):
+            for a, b in groups_of(texts, GROUP_CHARS):
                 rows = []
                 for key, raw in zip(ids[a:b], bpe.encode_batch(texts[a:b])):
                     raw += end
@@ -230,6 +234,7 @@ def pieces(df: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
                 columns = list(zip(*rows))
                 kinds = [batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+        bpe.forget()
 
     out = texts_of(df, df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, number long")
     return out.withColumnRenamed("id", id_col)

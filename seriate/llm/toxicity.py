@@ -13,10 +13,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +23,8 @@ SAMPLE_ROWS, FOLDS = 20_000, 4
 #: A stem enters the lexicon if this many times likelier in toxic texts, with this log-likelihood ratio at least, and if this many toxic
 #: texts hold it; at most so many stems, chosen from as many candidates at most.
 LIFT, LEAST_RATIO, LEAST_TEXTS, LEXICON_SIZE, CANDIDATES = 6.0, 14.0, 4, 2_000, 20_000
+#: Counts that a task gathers before it hands them on.
+COUNTED = 50_000
 #: Words around a second-person word within which a hit counts as aimed at the reader.
 NEAR = 6
 
@@ -110,6 +108,11 @@ def chosen_stems(counts: np.ndarray, terms: list[str], totals: np.ndarray) -> fr
     return frozenset(terms[k] for k in order[:LEXICON_SIZE])
 
 
+def _counted(found: Counter) -> pa.RecordBatch:
+    terms, cells = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(cells, pa.int32()), pa.array(list(found.values()), pa.int64())], ["term", "cell", "n"])
+
+
 def learn_lexicons(sample: DataFrame) -> list[frozenset[str]]:
     """Stems that toxic texts of the sample (text, label, fold) hold far more often: without each fold, and, last, of all folds."""
 
@@ -119,9 +122,11 @@ def learn_lexicons(sample: DataFrame) -> list[frozenset[str]]:
             for text, label, fold in zip(*(c.to_pylist() for c in batch.columns)):
                 own = {s for w in set((text or "").lower().split()) if (bare := w.strip(_EDGE)) for s in stems(bare)}
                 found.update([(s, 2 * fold + label) for s in own])
+                if len(found) > COUNTED:
+                    yield _counted(found)
+                    found.clear()
         if found:
-            terms, cells = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(cells, pa.int32()), pa.array(list(found.values()), pa.int64())], ["term", "cell", "n"])
+            yield _counted(found)
 
     totals = np.zeros((FOLDS, 2))
     for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect():
@@ -169,6 +174,9 @@ class ToxicityModel:
         """The kept columns and ``score`` of every row; a null text counts as empty."""
         if self.trees is None:
             return df.select(*keep, F.lit(self.prior).cast("double").alias("score"))
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.functions import vector_to_array
+
         named = {c: f"_kept{k}" for k, c in enumerate(keep)}  # whatever the kept columns are called, they clash with no feature
         rows = with_features(df.select(df[text_col].alias("_whole"), *(df[c].alias(n) for c, n in named.items())), self.lexicons, list(named.values()), "_whole")
         raw = self.trees.transform(VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(rows)).withColumn("_raw", vector_to_array("probability")[1])
@@ -187,6 +195,12 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Tox
     Where a label has no rows the model is a constant: the share of toxic rows, or 0 without any. Rows with null labels don't count;
     of repeated labels of one document each counts.
     """
+    # Imported here, as Python workers import this module and need none of it.
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
     chosen = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     # Bounded by ``rows``: ids and labels only.
