@@ -14,13 +14,14 @@ Collector = Callable[[Column, Column], Column]
 
 
 def to_list(x: Column, at: Column) -> Column:
-    """All values in order, nulls included."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), x.alias("x")))), lambda r: r["x"])
+    """All values in order, nulls included; a row without a place is no element."""
+    return F.transform(F.array_sort(F.collect_list(F.when(at.isNotNull(), F.struct(at.alias("at"), x.alias("x"))))), lambda r: r["x"])
 
 
 def to_set(x: Column, at: Column | None = None) -> Column:
     """The distinct values in their order; one null if there is any."""
-    return F.array_sort(F.concat(F.collect_set(x), F.when(F.bool_or(x.isNull()), F.array(F.max(F.when(F.lit(False), x)))).otherwise(F.filter(F.collect_set(x), lambda _: F.lit(False)))))
+    null = x.isNull() if at is None else x.isNull() & at.isNotNull()
+    return F.array_sort(F.concat(F.collect_set(x), F.when(F.bool_or(null), F.array(F.max(F.when(F.lit(False), x)))).otherwise(F.filter(F.collect_set(x), lambda _: F.lit(False)))))
 
 
 def first(x: Column, at: Column) -> Column:
@@ -41,11 +42,11 @@ def tail(n: int) -> Collector:
 
 def only_one(x: Column, at: Column) -> Column:
     """The value if there is exactly one, else null."""
-    return F.when(F.count(F.lit(1)) == 1, F.min_by(x, at))
+    return F.when(F.count(at) == 1, F.min_by(x, at))
 
 
 def counting(x: Column, at: Column | None = None) -> Column:
-    return F.count(F.lit(1))
+    return F.count(F.lit(1) if at is None else at)
 
 
 def count_if(p: Callable[[Column], Column]) -> Collector:
@@ -54,7 +55,8 @@ def count_if(p: Callable[[Column], Column]) -> Collector:
 
 def distinct_count(x: Column, at: Column | None = None) -> Column:
     """How many different values there are; null counts as one."""
-    return F.count_distinct(x) + F.coalesce(F.max(x.isNull().cast("bigint")), F.lit(0))
+    null = x.isNull() if at is None else x.isNull() & at.isNotNull()
+    return F.count_distinct(x) + F.coalesce(F.max(null.cast("bigint")), F.lit(0))
 
 
 def distinct_by(key: Callable[[Column], Column]) -> Collector:
@@ -132,6 +134,16 @@ def averaging(x: Column, at: Column | None = None) -> Column:
     return F.avg(x.cast("double"))
 
 
+def averaging_long(x: Column, at: Column | None = None) -> Column:
+    """The average of whole numbers from their exact sum; null of nothing."""
+    return F.when(F.count(x) > 0, F.sum(x.cast("decimal(38,0)")).cast("double") / F.greatest(F.count(x), F.lit(1)))
+
+
+def summarizing(x: Column, at: Column | None = None) -> Column:
+    """count, sum, min, max and average as one struct; min, max and average are null of nothing, the sum is 0."""
+    return F.struct(F.count(x).alias("count"), F.coalesce(F.sum(x), F.lit(0)).alias("sum"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x.cast("double")).alias("average"))
+
+
 def intersecting(x: Column, at: Column) -> Column:
     """The elements that all arrays hold; empty without arrays."""
     rows = F.collect_list(x)
@@ -152,7 +164,7 @@ def common_suffix(x: Column, at: Column | None = None) -> Column:
 
 
 def filtering(p: Callable[[Column], Column], downstream: Collector) -> Collector:
-    """A collector of single values over those that satisfy p; for collectors of lists, filter the list."""
+    """A collector over the values that satisfy p: the others have no value and no place."""
 
     def collect(x: Column, at: Column) -> Column:
         return downstream(F.when(p(x), x), F.when(p(x), at))
@@ -204,7 +216,7 @@ def joining(delimiter: str = "", prefix: str = "", suffix: str = "") -> Collecto
 
 def to_map(key: Callable[[Column], Column], value: Callable[[Column], Column] = lambda x: x) -> Collector:
     """A map; a repeated key is an error."""
-    return lambda x, at: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), key(x).alias("k"), value(x).alias("v")))), lambda r: F.struct(r["k"], r["v"])))
+    return lambda x, at: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.when(at.isNotNull(), F.struct(at.alias("at"), key(x).alias("k"), value(x).alias("v"))))), lambda r: F.struct(r["k"], r["v"])))
 
 
 def to_sorted_map(key: Callable[[Column], Column], value: Callable[[Column], Column] = lambda x: x) -> Collector:

@@ -43,7 +43,7 @@ class Joining:
     prefix: str = ""
     suffix: str = ""
     ellipsis: str = "..."
-    cut: str = "after_delimiter"
+    cut: str = "grapheme"
     unit: str = "chars"
     limit: int | None = None
 

@@ -47,8 +47,12 @@ def sum_long(x: Column) -> Column:
 
 def total_order(x: Column) -> Column:
     """A sort key of doubles: -0.0 before 0.0, NaN above all."""
-    negative_zero = (x == 0.0) & (F.substring(F.format_string("%s", x), 1, 1) == "-")
-    return F.struct(F.isnan(x).alias("nan"), x.alias("x"), F.when(negative_zero, -1).otherwise(0).alias("sign"))
+    return F.struct(F.isnan(x).alias("nan"), x.alias("x"), zero_sign(x).alias("sign"))
+
+
+def zero_sign(x: Column) -> Column:
+    """-1 for -0.0, else 0: what tells both zeros apart in an order."""
+    return F.when((x == 0.0) & x.cast("string").startswith("-"), -1).otherwise(0)
 
 
 def min_double(x: Column) -> Column:

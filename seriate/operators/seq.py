@@ -364,19 +364,28 @@ class Seq:
         return self.positions("_i")._with_order(self.order).filter(lambda _: F.col("_i") >= n)._drop("_i")
 
     def sorted_by(self, f: Fn, reverse: bool = False) -> Seq:
-        """Order by a key, stably; nulls are an error, as they have no natural order."""
+        """Order by a key, stably; nulls are an error, as they have no natural order. Doubles have -0.0 before 0.0, and NaN above all."""
         key = f(self.x)
-        key = F.when(key.isNotNull(), key).otherwise(F.raise_error(F.lit("null has no order")).cast(self.df.select(key).schema[0].dataType))
+        kind = self.df.select(key).schema[0].dataType
+        key = F.when(key.isNotNull(), key).otherwise(F.raise_error(F.lit("null has no order")).cast(kind))
         df = self.df.withColumn("_key", key)
+        if kind.typeName() in ("double", "float"):
+            if reverse:
+                df = df.withColumn("_key", -F.col("_key"))
+            # NaN is the greatest key by itself, and stays so when it changes its sign.
+            df = df.withColumn("_nan", F.when(F.isnan("_key"), -1).otherwise(0)).withColumn("_sign", N.zero_sign(F.col("_key")))
+            return self._with(df, order=[*(["_nan"] if reverse else []), "_key", "_sign", *self.order])
         if not reverse:
             return self._with(df, order=["_key", *self.order])
-        # Reversal by rank keeps ties in their order whatever the key's type is.
+        if kind.typeName() in ("byte", "short", "integer", "long"):
+            return self._with(df.withColumn("_key", -F.col("_key").cast("decimal(20,0)")), order=["_key", *self.order])
+        # Keys of other types are reversed by rank, which keeps ties in their order.
         rank = df.select(*self.by, "_key").distinct()
         if not self.by:
             ranked = O.with_position(rank, [], ["_key"], "_rank")
         else:
             ranked = rank.withColumn("_rank", F.row_number().over(Window.partitionBy(*self.by).orderBy("_key")))
-        joined = df.join(ranked, [*self.by, "_key"]).withColumn("_rank", -F.col("_rank"))
+        joined = O.join_keys(df, ranked, [*self.by, "_key"], null_safe=self.by).withColumn("_rank", -F.col("_rank"))
         return self._with(joined.drop("_key"), order=["_rank", *self.order])
 
     def sorted(self) -> Seq:
@@ -455,7 +464,7 @@ class Seq:
 
         left = self.positions("_i").df.select(*self.by, "_i", self.x.alias("key"))
         right = other.positions("_i").df.select(*self.by, "_i", other.x.alias("value"))
-        joined = left.join(right, [*self.by, "_i"])
+        joined = O.join_keys(left, right, [*self.by, "_i"], null_safe=self.by)
         if f is not None:
             return Seq(joined.select(*self.by, "_i", f(F.col("key"), F.col("value")).alias("value")), "value", "_i", self.by)
         return Pairs(joined, "key", "value", ["_i"], self.by)
@@ -463,7 +472,7 @@ class Seq:
     def zip(self, other: Seq, f: Fn | None = None):
         """The same for sequences of one length; others are an error."""
         n, m = (s.df.groupBy(*s.by).count() for s in (self, other))
-        uneven = n.join(m.withColumnRenamed("count", "_m"), self.by, "full").where("not (count <=> _m)") if self.by else n.crossJoin(m.withColumnRenamed("count", "_m")).where("count <> _m")
+        uneven = O.join_keys(n, m.withColumnRenamed("count", "_m"), self.by, "full", self.by).where("not (count <=> _m)") if self.by else n.crossJoin(m.withColumnRenamed("count", "_m")).where("count <> _m")
         if not uneven.isEmpty():
             raise ValueError("sequences of different lengths")
         return self.zip_with(other, f)
@@ -474,7 +483,7 @@ class Seq:
 
         left = self.positions("_i").df.select(*self.by, F.col("_i").alias("_i1"), self.x.alias("key"))
         right = self.positions("_i").df.select(*self.by, F.col("_i").alias("_i2"), self.x.alias("value"))
-        joined = left.join(right, self.by).where("_i1 < _i2") if self.by else left.join(right, F.col("_i1") < F.col("_i2"))
+        joined = O.join_keys(left, right, self.by, null_safe=self.by).where("_i1 < _i2") if self.by else left.join(right, F.col("_i1") < F.col("_i2"))
         return Pairs(joined, "key", "value", ["_i1", "_i2"], self.by)
 
     def elements(self, source: Seq) -> Seq:
@@ -542,7 +551,7 @@ class Seq:
         keys = self.df.sparkSession.createDataFrame([(d,) for d in domain], ["key"])
         if self.by:
             keys = self.df.select(*self.by).distinct().crossJoin(F.broadcast(keys))
-        out = keys.join(found, [*self.by, "key"], "left")
+        out = O.join_keys(keys, found, [*self.by, "key"], "left", self.by)
         return out.fillna(empty) if empty else out
 
     def partitioning_by(self, p: Fn, **aggregates) -> DataFrame:
@@ -552,8 +561,8 @@ class Seq:
         sides = sides.withColumn("key", F.explode(F.array(F.lit(True), F.lit(False))))
         own = aggregates or {self.value: C.to_list}
         rows = self.df.withColumn("key", flag).withColumn("_row", F.lit(True))
-        both = sides.join(rows, [*self.by, "key"], "left")
-        value, at = F.when(F.col("_row"), self.x), F.struct(*self.order)
+        both = O.join_keys(sides, rows, [*self.by, "key"], "left", self.by)
+        value, at = F.when(F.col("_row"), self.x), F.when(F.col("_row"), F.struct(*self.order))
         return both.groupBy(*self.by, "key").agg(*((a(value, at) if callable(a) else a).alias(n) for n, a in own.items()))
 
     def sum(self) -> DataFrame:
@@ -562,7 +571,27 @@ class Seq:
         return self.collect(sum=N.sum_int(self.x) if kind == "int" else N.sum_long(self.x) if kind == "bigint" else F.coalesce(F.sum(self.x), F.lit(0.0)))
 
     def average(self) -> DataFrame:
-        return self.collect(average=C.averaging(self.x))
+        """The average; whole numbers are summed exactly."""
+        whole = dict(self.df.dtypes)[self.value] in ("tinyint", "smallint", "int", "bigint")
+        return self.collect(average=(C.averaging_long if whole else C.averaging)(self.x))
+
+    def summary_statistics(self) -> DataFrame:
+        """count, sum, min, max and average."""
+        out = self.collect(_all=C.summarizing(self.x))
+        return out.select(*self.by, "_all.*")
+
+    def reverse(self) -> Seq:
+        """The last row first: order columns that are numbers change their sign, others are ranked."""
+        kinds = dict(self.df.dtypes)
+        if all(kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in self.order):
+            names = [f"_back_{c}" for c in self.order]
+            return self._with(self.df.withColumns({n: -F.col(c).cast("decimal(20,0)") for n, c in zip(names, self.order)}), order=names)
+        placed = self.positions("_place").df
+        return self._with(placed.withColumn("_place", -F.col("_place")), order=["_place"])
+
+    def partitioning_to_set(self, p: Fn) -> DataFrame:
+        """The same as sets of distinct values."""
+        return self.partitioning_by(p, **{self.value: C.to_set})
 
     def min(self) -> DataFrame:
         """The least value; NaN as soon as one is."""

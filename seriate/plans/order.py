@@ -10,35 +10,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a sequence without keys is dealt into at most, and the sampled values that their bounds are chosen from.
-MOST_RANGES, SAMPLED = 64, 4096
+#: Ranges that a sequence without keys is dealt into at most, and the sampled rows that their bounds are chosen from.
+MOST_RANGES, SAMPLED = 256, 16_384
 
 _RANGE = "_range"
 
 
-def bounds(df: DataFrame, column: str, ranges: int) -> list:
-    """Up to ranges - 1 bounds of a column, from a sample of at most SAMPLED of its values."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(F.xxhash64(column)).limit(SAMPLED).collect()
-    values = sorted(r[0] for r in found)
-    if len(values) < 2 * ranges:
-        ranges = max(1, len(values) // 2)
-    return [values[len(values) * k // ranges] for k in range(1, ranges)]
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", null_safe: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Join by key columns; those of ``null_safe`` match null with null. Each key column stands once in the result."""
+    names = {k: f"_join_{k}" for k in keys}
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & (left[k].eqNullSafe(F.col(n)) if k in null_safe else left[k] == F.col(n))
+    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
+def bounds(df: DataFrame, order: list[str], ranges: int) -> list:
+    """Up to ranges - 1 bounds of the leading order column, from SAMPLED rows at most: those with the least hash of their order.
+
+    Each task hands on its own least hashes only; there is no shuffle.
+    """
+    rows = df.where(F.col(order[0]).isNotNull()).select(F.col(order[0]).alias("v"), F.xxhash64(*order).alias("h")).orderBy("h").limit(SAMPLED)
+    values = sorted(r["v"] for r in rows.collect())
+    ranges = max(1, min(ranges, len(values) // 2))
+    found = [values[len(values) * k // ranges] for k in range(1, ranges)]
+    return [v for k, v in enumerate(found) if not k or v != found[k - 1]]
 
 
 def cuts_of(df: DataFrame, keys: list[str], order: list[str]) -> list | None:
     """The bounds of a table's ranges, for operators in a row that share them; none where there are keys."""
     if keys:
         return None
-    return bounds(df, order[0], min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    return bounds(df, order, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+
+def _number(x: Column, cuts: list, low: int) -> Column:
+    """How many of the sorted cuts x has reached, by halving."""
+    if not cuts:
+        return F.lit(low)
+    half = len(cuts) // 2
+    return F.when(x < F.lit(cuts[half]), _number(x, cuts[:half], low)).otherwise(_number(x, cuts[half + 1 :], low + half + 1))
 
 
 def in_ranges(df: DataFrame, order: list[str], cuts: list | None = None) -> DataFrame:
     """Add the number of the range of every row, so that ranges follow each other in the order; a null leads."""
     cuts = cuts_of(df, [], order) if cuts is None else cuts
-    number = F.lit(0)
-    for b in cuts:
-        number = number + (F.col(order[0]) >= F.lit(b)).cast("int")
-    return df.withColumn(_RANGE, F.coalesce(number, F.lit(-1)) if cuts else F.lit(0))
+    lead = F.col(order[0])
+    return df.withColumn(_RANGE, F.when(lead.isNull(), -1).otherwise(_number(lead, cuts, 0)) if cuts else F.lit(0))
 
 
 def _window(keys: list[str], order: list[str], backward: bool = False):
@@ -51,7 +69,6 @@ _MERGE = {
     "sum": (F.sum, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)),
     "min": (F.min, lambda a, b: F.least(a, b)),
     "max": (F.max, lambda a, b: F.greatest(a, b)),
-    "first": (lambda c: F.first(c), None),
 }
 
 

@@ -12,6 +12,7 @@ from .functions import numeric as N
 from .functions.joining import Joining
 from .operators.pairs import Pairs
 from .operators.seq import Seq
+from .plans.order import join_keys
 from .sources import sequences as S
 from .sources.tables import ORDERS, table
 
@@ -519,3 +520,282 @@ def emitter(spark, d):
 @query("select cast(value as bigint) as value, row_number() over () - 1 as at from (select unnest(range(10, -11, -3)) as value)")
 def ranges(spark, d):
     return S.range_(spark, 10, -11, -3).positions("at").df.select("value", "at")
+
+
+# -- pairs, one by one
+
+
+def order_pairs(spark: SparkSession, d: str) -> Pairs:
+    """Orders as pairs of customer and price in cents."""
+    df = table(spark, d, "orders").withColumn("cents", F.floor("o_totalprice"))
+    return Pairs(df.withColumn("cust", F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey"))), "cust", "cents", "o_orderkey")
+
+
+_P = "p as (select o_orderkey, case when o_custkey % 5 <> 0 then o_custkey end as cust, cast(floor(o_totalprice) as bigint) as cents from orders)"
+
+
+@query(f"with {_P} select o_orderkey, cust, cents from p where cust is not null and cents > 1000 and not (cust > 100 and cents > 200000) and cust + cents > 5000 and cents % 2 = 0 and cents not in (40000, 50000)")
+def pairs_filters(spark, d):
+    found = order_pairs(spark, d).non_null_keys().filter_values(lambda v: v > 1000).remove_key_value(lambda k, v: (k > 100) & (v > 200000))
+    found = found.filter_key_value(lambda k, v: k + v > 5000).remove_values(lambda v: v % 2 == 1).without_values(40000, 50000)
+    return found.df.select("o_orderkey", "cust", "cents")
+
+
+@query(f"with {_P} select o_orderkey, cust, cents from p where cust is null or cust <= 50")
+def pairs_remove_keys(spark, d):
+    return order_pairs(spark, d).remove_keys(lambda k: k > 50).df.select("o_orderkey", "cust", "cents")
+
+
+@query(f"with {_P} select o_orderkey, (cust + 1) * 3 + (cents * 2 - 7) as cust, (cents * 2 - 7) - ((cust + 1) * 3 + (cents * 2 - 7)) as cents from p where cust is not null")
+def pairs_maps(spark, d):
+    found = order_pairs(spark, d).map_keys(lambda k: k + 1).map_values(lambda v: v * 2 - 7).map_to_key(lambda k, v: k * 3 + v).map_to_value(lambda k, v: v - k)
+    return found.non_null_keys().df.select("o_orderkey", "cust", "cents")
+
+
+@query(f"with {_P} select o_orderkey, cust * 2 as cust, cents - 5000 as cents from p where cust > 30 and cents > 5000 and cust * 2 + cents % 10 <> 61 and cents % 3 <> 0")
+def pairs_partial_maps(spark, d):
+    found = order_pairs(spark, d).map_keys_partial(lambda k: F.when(k > 30, k)).map_values_partial(lambda v: F.when(v > 5000, v))
+    found = found.map_to_key_partial(lambda k, v: F.when(k * 2 + v % 10 != 61, k * 2)).map_to_value_partial(lambda k, v: F.when(v % 3 != 0, v - 5000))
+    return found.df.select("o_orderkey", "cust", "cents")
+
+
+@query(f"with {_P} select o_orderkey, cents as pair from p union all select o_orderkey, cust + cents as pair from p where cust is not null")
+def pairs_to_values(spark, d):
+    pairs = order_pairs(spark, d)
+    one, two = pairs.values().df.select("o_orderkey", F.col("cents").alias("pair")), pairs.map_key_value_partial(lambda k, v: k + v, "pair").df.select("o_orderkey", "pair")
+    return one.unionByName(two)
+
+
+@query(f"with {_P} select o_orderkey, cast(unnest([0, 1]) as bigint) as sub, unnest([cust, cust + 1]) as cust, cents from p where cust < 40")
+def pairs_flat_map_keys(spark, d):
+    found = order_pairs(spark, d).filter_keys(lambda k: k < 40).flat_map_keys(lambda k: F.array(k, k + 1))
+    return found.df.select("o_orderkey", F.col("_sub1").cast("bigint").alias("sub"), "cust", "cents")
+
+
+@query(f"with {_P} select o_orderkey, cust, unnest([cents, cents + cust]) as cents from p where cust < 40")
+def pairs_flat_map_to_value(spark, d):
+    return order_pairs(spark, d).filter_keys(lambda k: k < 40).flat_map_to_value(lambda k, v: F.array(v, v + k)).df.select("o_orderkey", "cust", "cents")
+
+
+@query(f"with {_P} select o_orderkey, unnest([cust, cents]) as cust, cents from p where cust < 40")
+def pairs_flat_map_to_key(spark, d):
+    return order_pairs(spark, d).filter_keys(lambda k: k < 40).flat_map_to_key(lambda k, v: F.array(k, v)).df.select("o_orderkey", "cust", "cents")
+
+
+@query(f"with {_P} select o_orderkey, unnest([cust, cents]) as flat from p where cust < 40")
+def pairs_flat_map_key_value(spark, d):
+    found = order_pairs(spark, d).filter_keys(lambda k: k < 40).flat_map_key_value(lambda k, v: F.array(k, v))
+    return found.df.select("o_orderkey", F.col(found.value).alias("flat"))
+
+
+@query(f"with {_P} select cust, array_to_string(list(cents order by o_orderkey), ',') as cents from p where cust is not null group by cust")
+def pairs_grouping(spark, d):
+    return order_pairs(spark, d).grouping().select("cust", F.array_join("cents", ",").alias("cents"))
+
+
+@query(f"with {_P} select min(o_orderkey) as o_orderkey, cents from p group by cents")
+def pairs_distinct_values(spark, d):
+    return order_pairs(spark, d).distinct_values().df.select("o_orderkey", "cents")
+
+
+@query(f"with {_P} select bool_or(cust > 90 and cents > 1000) as any_match, bool_and(coalesce(cust > 0, false)) as all_match, not bool_or(cents < 0) as none_match from p")
+def pairs_matches(spark, d):
+    pairs = order_pairs(spark, d)
+    one, two, three = pairs.any_match(lambda k, v: (k > 90) & (v > 1000)), pairs.all_match(lambda k, v: k > 0), pairs.none_match(lambda k, v: v < 0)
+    return one.toDF("any_match").crossJoin(two.toDF("all_match")).crossJoin(three.toDF("none_match"))
+
+
+@query("select o_custkey, sum(cast(floor(o_totalprice) as bigint)) over w as cust_sum, max(cast(floor(o_totalprice) as bigint)) over w as cust_max from orders window w as (partition by o_custkey order by o_orderkey)")
+def pairs_prefix(spark, d):
+    df = table(spark, d, "orders").withColumn("cust_sum", F.floor("o_totalprice")).withColumn("cust_max", F.floor("o_totalprice"))
+    return Pairs(df, "cust_sum", "cust_max", "o_orderkey", "o_custkey").prefix_keys("sum").prefix_values("max").df.select("o_custkey", "cust_sum", "cust_max")
+
+
+# -- literal rows: nulls, both zeros, large numbers, empty sides
+
+
+def literal(spark: SparkSession, rows: list[tuple], kind: str) -> Seq:
+    """Rows (key, place, value) as one sequence for each key, a null key included."""
+    return Seq(spark.createDataFrame(rows, f"k int, i int, x {kind}"), "x", "i", "k")
+
+
+_ROWS = [(1, 0, 5), (1, 1, 1), (1, 2, 7), (1, 3, None), (None, 0, 3), (None, 1, 9), (2, 0, 2)]
+_VALUES = "v(k, i, x) as (values (1, 0, 5), (1, 1, 1), (1, 2, 7), (1, 3, null), (null, 0, 3), (null, 1, 9), (2, 0, 2))"
+
+
+@query(f"with {_VALUES} select k, count(*) filter (x > 4) as n, coalesce(array_to_string(list(x order by i) filter (x > 4), ','), '') as list, min(x) filter (x > 4) as least from v group by k")
+def filtering(spark, d):
+    p = lambda x: x > 4
+    found = literal(spark, _ROWS, "int").collect(n=C.filtering(p, C.counting), list=C.filtering(p, C.to_list), least=C.filtering(p, lambda x, at: F.min(x)))
+    return found.withColumn("list", F.array_join("list", ","))
+
+
+@query(f"with {_VALUES}, s as (select distinct k, unnest([true, false]) as key from v) select s.k, s.key, coalesce(array_to_string(list(x order by i) filter (i is not null), ','), '') as x, count(i) as n from s left join v on v.k is not distinct from s.k and coalesce(v.x > 4, false) = s.key group by all")
+def partitioning_by_sides(spark, d):
+    found = literal(spark, _ROWS, "int").partitioning_by(lambda x: x > 4, x=C.to_list, n=C.counting)
+    return found.withColumn("x", F.array_join("x", ","))
+
+
+@query("select * from (values (1, cast(0.5 as double)), (2, cast(4611686018427387904 as double))) t(k, average)")
+def average_long(spark, d):
+    rows = [(1, 0, 2**53 + 1), (1, 1, -(2**53)), (2, 0, 2**62), (2, 1, 2**62)]
+    return literal(spark, rows, "bigint").average()
+
+
+@query("select k, list_position(o, i) - 1 as at, i from (select unnest([1, 1, 1, 1, 1]) as k, unnest([4, 1, 0, 3, 2]) as i, [4, 1, 0, 3, 2] as o)")
+def sorted_doubles(spark, d):
+    rows = [(1, 0, 0.0), (1, 1, -0.0), (1, 2, float("nan")), (1, 3, 2.5), (1, 4, -1.0)]
+    return literal(spark, rows, "double").sorted().positions("at").df.select("k", F.col("at").cast("bigint").alias("at"), "i")
+
+
+@query("select k, list_position(o, i) - 1 as at, i from (select unnest([1, 1, 1, 1, 1]) as k, unnest([2, 3, 0, 1, 4]) as i, [2, 3, 0, 1, 4] as o)")
+def reverse_sorted_doubles(spark, d):
+    rows = [(1, 0, 0.0), (1, 1, -0.0), (1, 2, float("nan")), (1, 3, 2.5), (1, 4, -1.0)]
+    return literal(spark, rows, "double").reverse_sorted().positions("at").df.select("k", F.col("at").cast("bigint").alias("at"), "i")
+
+
+@query(f"with {_VALUES}, r as (select *, row_number() over (partition by k order by x desc, i) - 1 as place from v where x is not null) select k, place, x from r")
+def reverse_sorted_null_key(spark, d):
+    return literal(spark, _ROWS, "int").non_null().reverse_sorted().positions("place").df.select("k", F.col("place").cast("bigint").alias("place"), "x")
+
+
+@query(f"with {_VALUES}, r as (select *, row_number() over (partition by k order by i) as a, row_number() over (partition by k order by i desc) as b from v) select r.k, r.x as key, s.x as value from r join r s on r.k is not distinct from s.k and r.a = s.b")
+def zip_reversed_null_key(spark, d):
+    seq = literal(spark, _ROWS, "int")
+    return seq.zip(seq.reverse()).df.select("k", "key", "value")
+
+
+@query(f"with {_VALUES} select k, count(x) as count, cast(coalesce(sum(x), 0) as bigint) as sum, min(x) as min, max(x) as max, avg(x) as average from v group by k")
+def summary_statistics(spark, d):
+    return literal(spark, _ROWS, "int").summary_statistics()
+
+
+@query(f"with {_VALUES} select k, i, x from v where (x <> 7 or x is null) and x is not null")
+def remove_by_non_null(spark, d):
+    return literal(spark, _ROWS, "int").remove_by(lambda x: x, 7).non_null().df
+
+
+@query(f"with {_VALUES} select k, bool_or(x is not distinct from 9) as has, count(*) as n, cast(coalesce(sum(x), 0) as bigint) as sum, min(x) as min, max(x) as max, arg_min(x, i) filter (x > 2) as first from v group by k")
+def single_results(spark, d):
+    seq = literal(spark, _ROWS, "int")
+    both = seq.df.select("k").distinct()
+    for part in (seq.has(9).withColumnRenamed("matches", "has"), seq.count(), seq.sum().withColumn("sum", F.col("sum").cast("bigint")), seq.min(), seq.max(), seq.find_first(lambda x: x > 2).withColumnRenamed("x", "first")):
+        both = join_keys(both, part, ["k"], "left", ["k"])
+    return both
+
+
+@query("select c_nationkey, min(c_acctbal) as min, max(c_acctbal) as max, cast(count(*) as bigint) as n from customer group by c_nationkey")
+def min_max_count(spark, d):
+    seq = Seq(table(spark, d, "customer"), "c_acctbal", "c_custkey", "c_nationkey")
+    return seq.min().join(seq.max(), "c_nationkey").join(seq.count(), "c_nationkey")
+
+
+@query("select o_custkey, o_orderkey, cast(row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) - 1 as bigint) as at from orders")
+def sorted_by_key(spark, d):
+    found = orders(spark, d, "o_orderkey", ["o_custkey"]).sorted_by(lambda x: F.col("o_totalprice"))
+    return found.positions("at").df.select("o_custkey", "o_orderkey", F.col("at").cast("bigint").alias("at"))
+
+
+@query("select o_custkey, cast(wrap as bigint) as wrap from (select o_custkey, list_reduce(list(cast(floor(o_totalprice) as bigint) order by o_orderkey), lambda a, x: (a * 31 + x) % 1000003) as wrap from orders group by o_custkey)")
+def reduce_any(spark, d):
+    return orders(spark, d, "cents", ["o_custkey"]).reduce(lambda a, x: (a * 31 + x) % 1000003).select("o_custkey", F.col("cents").alias("wrap"))
+
+
+@query("select user_id, array_to_string(list_sort(list(distinct event_type)), ',') as types from events group by user_id")
+def to_set(spark, d):
+    return events(spark, d).collect(types=C.to_set).withColumn("types", F.array_join("types", ","))
+
+
+@query("select conv_id, reverse(suffix) as suffix from (select conv_id, max(len) as n, arg_max(pre, len) as suffix from (select conv_id, len, left(lo, len) as pre from (select conv_id, min(reverse(role)) as lo, max(reverse(role)) as hi from conversations group by conv_id), range(0, 20) t(len) where len <= least(length(lo), length(hi)) and left(lo, len) = left(hi, len)) group by conv_id)")
+def common_suffix(spark, d):
+    return Seq(table(spark, d, "conversations"), "role", "turn", "conv_id").collect(suffix=C.common_suffix)
+
+
+# -- bounded joining: cuts and units
+
+_NUMBERS = "'one, two, three, four, five, six, seven, eight, nine, ten'"
+
+
+@query(f"select cut, left(t, n) || '...' as joined from (select {_NUMBERS} as t, unnest(['anywhere', 'code_point', 'grapheme', 'word', 'before', 'after', 'default']) as cut, unnest([13, 13, 13, 10, 8, 10, 13]) as n)")
+def joining_cuts(spark, d):
+    words = "one two three four five six seven eight nine ten".split()
+    rows = Seq(spark.createDataFrame(list(enumerate(words)), "i int, x string"), "x", "i")
+    j = Joining(", ").max_chars(16)
+    cuts = {"anywhere": j.cut_anywhere(), "code_point": j.cut_at_code_point(), "grapheme": j.cut_at_grapheme(), "word": j.cut_at_word(), "before": j.cut_before_delimiter(), "after": j.cut_after_delimiter(), "default": j}
+    found = rows.collect(**cuts)
+    return found.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, cuts)), F.array(*cuts))).alias("cut", "joined"))
+
+
+@query("select '[one, two, ...]' as elements, '<[one, tw..]>' as wrapped, 'one, two, three, f~' as points, 'one, two, thr~' as graphemes")
+def joining_units(spark, d):
+    words = "one two three four five six seven eight nine ten".split()
+    rows = Seq(spark.createDataFrame(list(enumerate(words)), "i int, x string"), "x", "i")
+    j = Joining(", ", "[", "]")
+    return rows.collect(
+        elements=j.max_elements(2), wrapped=j.wrap("<", ">").max_chars(13).with_ellipsis("..").cut_anywhere(),
+        points=Joining(", ").max_code_points(19).with_ellipsis("~").cut_anywhere(), graphemes=Joining(", ").max_graphemes(14).with_ellipsis("~").cut_anywhere(),
+    )
+
+
+# -- sources and narrowings
+
+
+@query("select cast(i as bigint) as at, cast(7 as bigint) as value, 'constant' as name from range(5) t(i) union all select i, i, 'longs' from range(6) t(i) union all select i, i * i, 'generate' from range(5) t(i) union all select i, cast(2 ** i as bigint), 'iterate' from range(7) t(i)")
+def simple_sources(spark, d):
+    out = None
+    for name, seq in (("constant", S.constant(spark, 7, 5)), ("longs", S.longs(spark, 6)), ("generate", S.generate(spark, 5, lambda i: i * i)), ("iterate", S.iterate(spark, 1, "value * 2", "bigint", "value <= 64"))):
+        rows = seq.positions("at").df.select(F.col("at").cast("bigint").alias("at"), seq.x.cast("bigint").alias("value"), F.lit(name).alias("name"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("select name, cast(k as bigint) as key, value from (values ('map', 1, 'a'), ('map', 2, 'b'), ('pairs', 1, 'x'), ('pairs', 1, 'y'), ('list', 0, 'p'), ('list', 1, 'q'), ('one', 0, 'z')) t(name, k, value)")
+def value_sources(spark, d):
+    found = (("map", S.of_map(spark, {1: "a", 2: "b"}, "int", "string")), ("pairs", S.of_pairs(spark, [(1, "x"), (1, "y")], "int", "string")), ("list", S.of_list(spark, ["p", "q"], "string")))
+    out = None
+    for name, pairs in found:
+        rows = pairs.df.select(F.lit(name).alias("name"), pairs.k.cast("bigint").alias("key"), pairs.v.alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    one = S.of_nullable(spark, "z", "string").append(S.of_nullable(spark, None, "string"), S.empty(spark, "string"))
+    return out.unionByName(one.df.select(F.lit("one").alias("name"), F.lit(0).cast("bigint").alias("key"), one.x.alias("value")))
+
+
+@query("select doc_id, cast(k - 1 as bigint) as at, ascii(substr(source, k, 1)) as code from (select doc_id, source, unnest(range(1, length(source) + 1)) as k from documents)")
+def chars_of_text(spark, d):
+    seq = S.chars(table(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"])
+    return seq.positions("at").df.select("doc_id", F.col("at").cast("bigint").alias("at"), F.ascii(seq.x).alias("code") if dict(seq.df.dtypes)[seq.value] == "string" else seq.x.cast("int").alias("code"))
+
+
+@query("select o_orderkey, cast(floor(o_totalprice) as integer) as i, cast(floor(o_totalprice) as double) / 2 as f from orders")
+def typed_maps(spark, d):
+    seq = orders(spark, d, "cents")
+    one = seq.map_to_int().df.select("o_orderkey", F.col("cents").alias("i"))
+    return one.join(seq.map_to_double(lambda x: x / 2).df.select("o_orderkey", F.col("cents").alias("f")), "o_orderkey")
+
+
+@query("select user_id, event_id, case when row_number() over w = 1 then event_type || '!' else event_type || '?' end as event_type from events window w as (partition by user_id order by event_id)")
+def map_first_or_else(spark, d):
+    return events(spark, d).map_first_or_else(lambda x: F.concat(x, F.lit("!")), lambda x: F.concat(x, F.lit("?"))).df.select("user_id", "event_id", "event_type")
+
+
+@query("select user_id, event_id, case when row_number() over w = 1 then event_type || '!' else event_type || '?' end as event_type from events window w as (partition by user_id order by event_id desc)")
+def map_last_or_else(spark, d):
+    return events(spark, d).map_last_or_else(lambda x: F.concat(x, F.lit("?")), lambda x: F.concat(x, F.lit("!"))).df.select("user_id", "event_id", "event_type")
+
+
+@query("select c_custkey, seg as key, cast(n as bigint) as value from (select c_custkey, unnest([c_mktsegment, 'all']) as seg, unnest([1, 2]) as n from customer)")
+def flat_map_to_entry(spark, d):
+    seq = Seq(table(spark, d, "customer"), "c_mktsegment", "c_custkey")
+    found = seq.flat_map_to_entry(lambda x: F.create_map(x, F.lit(1), F.lit("all"), F.lit(2)))
+    return found.df.select("c_custkey", "key", F.col("value").cast("bigint").alias("value"))
+
+
+@query("select p_partkey, p_brand as key, p_size as value from part where p_size > 10")
+def map_to_entry_partial(spark, d):
+    seq = Seq(table(spark, d, "part"), "p_size", "p_partkey")
+    return seq.map_to_entry_partial(lambda x: F.col("p_brand"), lambda x: F.when(x > 10, x)).df.select("p_partkey", "key", "value")
+
+
+@query("select n_nationkey, cast(row_number() over (order by n_nationkey desc) - 1 as bigint) as at from nation")
+def reverse(spark, d):
+    return Seq(table(spark, d, "nation"), "n_name", "n_nationkey").reverse().positions("at").df.select("n_nationkey", F.col("at").cast("bigint").alias("at"))

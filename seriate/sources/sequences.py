@@ -183,10 +183,11 @@ def sub_lists(seq: Seq, length: int, shift: int | None = None) -> Seq:
     low, high = F.greatest(F.lit(0), F.floor((F.col("_i") - length) / shift) + 1), F.floor(F.col("_i") / shift)
     spread = rows.where(low <= high).withColumn("_window", F.explode(F.sequence(low, high)))
     from ..functions.collectors import to_list
+    from ..plans.order import join_keys
 
     out = spread.groupBy(*seq.by, "_window").agg(to_list(seq.x, F.col("_i")).alias(seq.value))
     n = rows.groupBy(*seq.by).agg(F.count(F.lit(1)).alias("_n"))
-    out = out.join(n, seq.by) if seq.by else out.crossJoin(n)
+    out = join_keys(out, n, seq.by, null_safe=seq.by) if seq.by else out.crossJoin(n)
     covered = (F.col("_window") == 0) | ((F.col("_window") - 1) * shift + length < F.col("_n"))
     return Seq(out.where(covered).drop("_n"), seq.value, "_window", seq.by)
 
