@@ -45,7 +45,10 @@ BOILERPLATE_WORDS = frozenset(
 #: Words beside which those say what an element stands next to ("content with-sidebar"), not what it is.
 CONTENT_WORDS = frozenset("content main article post entry story body page wrapper container layout".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Elements nested deeper stand at the path of the one at this depth; browsers bound the depth of their trees alike.
+MOST_DEPTH = 512
+# Without a ">" a tag ends at the next "<"; nothing is read twice.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|(?=<))", re.S)
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -132,7 +135,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         main = above[3] or tag in ("article", "main") or "main" in names and tag == "div"
         skip = above[2] or hidden or tag in BOILERPLATE_TAGS or tag == "header" and not above[3] or tag not in ("html", "body", "main", "article") and any(w in BOILERPLATE_WORDS for w in names) and not any(w in CONTENT_WORDS for w in names)
         letters = ".".join(w for w in names if not w.isdigit())
-        stack.append((tag, f"{above[1]}/{tag}{'.' + letters if letters else ''}", skip, main))
+        path = f"{above[1]}/{tag}{'.' + letters if letters else ''}" if len(stack) <= MOST_DEPTH else above[1]
+        stack.append((tag, path, skip, main))
         block = stack[-1]
     flush()
     return out
@@ -163,30 +167,51 @@ def folded(found: list[tuple[str, str, bool, bool]]) -> Node:
     return root
 
 
-def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: size of the largest order-preserving match of two trees with one sign, and the matched nodes."""
+def _aligned(a: Node, b: Node, done: dict[tuple[int, int], tuple[int, list]]) -> tuple[int, list[tuple[Node, Node]]]:
+    """The size of the largest match below two nodes, and which children are matched, given the matches of all their children."""
     n, m = len(a.children), len(b.children)
     best = [[0] * (m + 1) for _ in range(n + 1)]
-    own: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(1, n + 1):
-        x = a.children[i - 1]
-        for j in range(1, m + 1):
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
             score = max(best[i - 1][j], best[i][j - 1])
-            if x.sign == b.children[j - 1].sign:
-                own[i, j] = tree_match(x, b.children[j - 1])
-                score = max(score, best[i - 1][j - 1] + own[i, j][0])
+            if x.sign == y.sign:
+                score = max(score, best[i - 1][j - 1] + done[id(x), id(y)][0])
             best[i][j] = score
-    matched: list[tuple[Node, Node]] = [(a, b)]
-    i, j = n, m
+    pairs, i, j = [], n, m
     while i and j:
-        if (i, j) in own and best[i][j] == best[i - 1][j - 1] + own[i, j][0]:
-            matched += own[i, j][1]
+        x, y = a.children[i - 1], b.children[j - 1]
+        if x.sign == y.sign and best[i][j] == best[i - 1][j - 1] + done[id(x), id(y)][0]:
+            pairs.append((x, y))
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return 1 + best[n][m], matched
+    return 1 + best[n][m], pairs
+
+
+def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching: size of the largest order-preserving match of two trees with one sign, and the matched nodes.
+
+    Pairs of nodes are matched children first, from a stack, so that trees may be of any depth.
+    """
+    done: dict[tuple[int, int], tuple[int, list]] = {}
+    stack = [(a, b)]
+    while stack:
+        x, y = stack[-1]
+        if (id(x), id(y)) not in done:
+            wanted = [(c, d) for c in x.children for d in y.children if c.sign == d.sign and (id(c), id(d)) not in done]
+            if wanted:
+                stack += wanted
+                continue
+            done[id(x), id(y)] = _aligned(x, y, done)
+        stack.pop()
+    matched, stack = [], [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        matched.append((x, y))
+        stack += done[id(x), id(y)][1]
+    return done[id(a), id(b)][0], matched
 
 
 def paths(node: Node, above: str = "") -> dict[int, str]:

@@ -143,6 +143,13 @@ def test_html_every_layout_has_a_template(spark):
     assert [got[100 + k] for k in range(6)] == [f"story {k}" for k in range(6)]
 
 
+def test_html_of_deep_and_broken_markup(spark):
+    deep = "<div>" * 3000 + "<p>deep text {k}</p>" + "</div>" * 3000
+    rows = [(k, "http://deep.test/a", deep.format(k=k)) for k in range(5)] + [(9, "http://broken.test/b", "<a " * 300_000 + "<p>end</p>"), (10, "http://broken.test/b", None)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"deep text {k}" for k in range(5)) and got[9] == "end" and got[10] == ""
+
+
 def test_tree_match_counts_aligned_nodes():
     one, two = (html_text.folded(html_text.blocks(h)) for h in ("<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><p>x</p><p>y</p><table><td>q</table></div>"))
     score, matched = html_text.tree_match(one, two)
