@@ -26,6 +26,11 @@ _HALF, _UNIT = (1 << 31) - 1, (1 << 25) - 1
 _SCALE = 50 * 0.6931471805599453
 
 
+def _seed(k: int) -> int:
+    """Well-spread signed 64-bit numbers, one for each hash function."""
+    return ((k + 1) * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 def _uniform(h: Column, shift: int) -> Column:
     """25 bits of a hash, as a number in (0, 2**25)."""
     return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_UNIT)) + F.lit(0.5)
@@ -36,7 +41,7 @@ def sample_keys(term: Column, log_weight: Column, number: int) -> Column:
 
     ``term`` is a hash of the term and of the chunk, ``log_weight`` null where the set lacks the term.
     """
-    one, two = (F.xxhash64(term, F.lit(2 * number + k)) for k in range(2))
+    one, two = (F.xxhash64(term.bitwiseXOR(F.lit(_seed(2 * number + k)))) for k in range(2))
     r = F.lit(_SCALE) - F.log(_uniform(one, 0) * _uniform(one, 25))
     c = F.lit(_SCALE) - F.log(_uniform(two, 0) * _uniform(two, 25))
     # The 14 upper bits of both hashes, which nothing else reads.
@@ -44,7 +49,7 @@ def sample_keys(term: Column, log_weight: Column, number: int) -> Column:
     t = F.floor(log_weight / r + b)
     value = F.log(c) - r * (t - b + F.lit(1.0))
     # Values lie well within -128 .. 128 (r is below 36), so 31 bits keep their order to 1e-7.
-    high = ((value + F.lit(128.0)) * F.lit(float(1 << 23))).cast("long")
+    high = F.floor((value + F.lit(128.0)) * F.lit(float(1 << 23)))
     low = one.bitwiseXOR(F.shiftrightunsigned(two, 29)).bitwiseXOR(F.shiftleft(t, 3)).bitwiseAND(F.lit(_HALF))
     return F.shiftleft(high, 32).bitwiseOR(low)
 
