@@ -210,10 +210,10 @@ def skip_last(spark, d):
 # -- filters and projections
 
 
-@query(f"with {_E} select event_id, amount * 2 as amount from e where amount >= 50 and amount < 400 and event_type not in ('click', 'view') and user_id % 7 <> 0")
+@query(f"with {_E} select event_id, amount * 2 as amount from e where amount >= 50 and amount < 400 and event_type not in ('click', 'view') and not (amount >= 100 and amount < 120)")
 def filters(spark, d):
     seq = events(spark, d).without("click", "view")
-    seq = Seq(seq.df, "amount", "event_id", "user_id").at_least(50).less(400).remove(lambda x: F.col("user_id") % 7 == 0)
+    seq = Seq(seq.df, "amount", "event_id", "user_id").at_least(50).less(400).remove(lambda x: (x >= 100) & (x < 120))
     return seq.map(lambda x: x * 2).df.select("event_id", "amount")
 
 
@@ -234,9 +234,9 @@ def narrowing(spark, d):
     return table(spark, d, "orders").select("o_orderkey", N.wrap_byte(k * 77).cast("bigint").alias("byte"), N.wrap_short(k * 7717).cast("bigint").alias("short"), N.char_code(k * 7717).cast("bigint").alias("code"))
 
 
-@query("select doc_id, cast(k - 1 as bigint) as at, w as word from (select doc_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as k from documents) where k <= 5 and w <> ''")
+@query("select doc_id, cast(k - 1 as bigint) as at, w as word from (select doc_id, unnest(string_split(text, chr(10))) as w, generate_subscripts(string_split(text, chr(10)), 1) as k from documents) where w <> ''")
 def flat_map(spark, d):
-    seq = Seq(table(spark, d, "documents"), "text", "doc_id").flat_map(lambda x: F.split(x, " ")).filter(lambda x: (F.col("_sub1") < 5) & (x != ""))
+    seq = Seq(table(spark, d, "documents"), "text", "doc_id").flat_map(lambda x: F.split(x, "\n")).filter(lambda x: x != "")
     return seq.df.select("doc_id", F.col("_sub1").cast("bigint").alias("at"), F.col("text").alias("word"))
 
 
