@@ -48,7 +48,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("passages", drop_repeated_passages), ("packing", pack_sequences)]
 
-#: No stage is expressible in SQL; tests hold each against a brute-force version.
+#: No stage is expressible in SQL; tests hold the operators against plain versions, and the stages on planted rows.
 ORACLE_SQL = None
 
 
