@@ -2,9 +2,10 @@
 
 Only the histogram of piece lengths (one number for each length up to the capacity) reaches the driver. The configuration program
 over it (fewest sequences that cover every length's count) is solved by multiplicative weights: each length's weight falls as it is
-covered, a knapsack dynamic program over the capacity prices the best configuration, and that configuration is raised. The result is
-rounded down within the counts; what is left goes to best fit, also on counts. The plan numbers the pieces of each length, and tasks
-place each piece by its number; no piece passes through the driver.
+covered, a knapsack dynamic program over the capacity prices the best configurations, and these are raised. The weights are a dual
+solution as well, whose bound says how far from the fewest a packing can be. Multiplicities are rounded down; copies that hold a length too
+often give it up, and what is left goes to best fit, into their room first. The plan numbers the pieces of each length, and tasks place
+each piece by its number; no piece passes through the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import array
 import base64
 import json
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,9 @@ GROUP_CHARS = 1_000_000
 #: A configuration: ((length, how many of it), ...) by falling length.
 Config = tuple[tuple[int, int], ...]
 
-#: Rounds of multiplicative weights; how far below full a configuration may be at first, by how much more after a round that covers less
-#: than LEAST of what is left; and the schedules that are tried: how fast weights move, and the share of a length that one round may cover.
-ROUNDS, SLACK, WIDEN, LEAST = 300, 0.0005, 1.5, 0.01
-SCHEDULES = ((0.3, 0.5), (0.05, 1.0))
+#: Rounds of multiplicative weights at most, how fast weights move, how near to the dearest configuration others are raised with it, and the
+#: share above the dual bound at which the program ends.
+ROUNDS, SPEED, CLOSE, GAP = 512, 0.05, 0.02, 0.0005
 
 
 def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,47 +66,47 @@ def configuration(first: int, took: np.ndarray, lengths: np.ndarray, capacity: i
     return tuple(sorted(found.items(), reverse=True))
 
 
-def linear_program(counts: np.ndarray, capacity: int, speed: float, share: float) -> dict[Config, float]:
-    """Fractional multiplicities of configurations that cover the counts, by multiplicative weights.
+def covering_program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Iterator[tuple[dict[Config, float], float]]:
+    """The covering program by multiplicative weights: after rounds 32, 64, 128, ... (multiplicities of configurations, dual bound).
 
-    A round prices all configurations at once: each long piece with the best that fits beside it. Those that are full enough are raised,
-    each within what is left of its lengths; lengths that lag become dearer, those ahead cheaper.
+    A length's weight is its dual value times its count. A round prices every length's best configuration under these values, raises those
+    within CLOSE of the dearest until a length is covered once, and lowers a length's weight by how far it was covered. The values over
+    the dearest configuration's worth are a dual solution, so that no packing has fewer sequences than the bound. They start at the
+    lengths' shares of the capacity. Multiplicities are the average of the rounds since the last yield but one, to the bound's size.
     """
-    left = counts.astype(float)
-    weights = np.ones(capacity + 1)
-    out: dict[Config, float] = {}
-    slack = SLACK
-    for _ in range(ROUNDS):
-        lengths = np.flatnonzero(left > 1e-9)
-        if not len(lengths):
-            break
-        values = lengths * weights[lengths]
+    lengths = np.flatnonzero(counts)
+    n = counts[lengths].astype(float)
+    place = {int(s): k for k, s in enumerate(lengths)}
+    logs = np.log(lengths * n)
+    bound = float(n @ lengths) / capacity
+    whole: dict[Config, float] = {}
+    last: dict[Config, float] = {}
+    mark = 32
+    for t in range(1, rounds + 1):
+        values = np.exp(logs - logs.max()) / n
         best, took = price(values, lengths, capacity)
-        before = float((left * np.arange(capacity + 1)).sum())
-        start = left.copy()
-        for k in np.argsort(-lengths):
-            if 2 * lengths[k] <= lengths[-1] or left[lengths[k]] <= 0:
-                continue
-            config = configuration(int(k), took, lengths, capacity)
-            if sum(size * n for size, n in config) < (1 - slack) * capacity:
-                continue
-            step = min(share * start[lengths[k]], *(left[size] / n for size, n in config))
-            if step > 0:
-                out[config] = out.get(config, 0.0) + step
-                for size, n in config:
-                    left[size] = max(0.0, left[size] - n * step)
-        left[left < 1e-6 * counts] = 0
-        after = float((left * np.arange(capacity + 1)).sum())
-        if after > (1 - LEAST) * before:
-            slack = min(1.0, slack * WIDEN)
-        covered = 1 - left[lengths] / counts[lengths]
-        weights[lengths] *= np.exp(-speed * share * (covered - covered.mean()))
-    return out
-
-
-def best_fit(counts: np.ndarray, capacity: int) -> dict[Config, int]:
-    """Best fit by falling length, on counts: bins with the same content are one entry."""
-    bins: dict[int, dict[Config, int]] = {}
+        bound = max(bound, float(n @ values) / best[capacity])
+        near = np.flatnonzero(values + best[capacity - lengths] >= (1 - CLOSE) * best[capacity])
+        covered = np.zeros(len(lengths))
+        for config in sorted({configuration(int(k), took, lengths, capacity) for k in near}):
+            own = [place[size] for size, _ in config]
+            many = np.array([k for _, k in config])
+            step = float(((1 - covered[own]) * n[own] / many).min())
+            if step > 1e-9 * n.max():
+                covered[own] += many * step / n[own]
+                last[config] = last.get(config, 0.0) + step
+        logs -= SPEED * covered
+        if t == mark or t == rounds:
+            for config, x in last.items():
+                whole[config] = whole.get(config, 0.0) + x
+            scale = bound / sum(whole.values())
+            yield {config: x * scale for config, x in whole.items()}, bound
+            whole, last, mark = last, {}, 2 * mark
+
+
+def best_fit(counts: np.ndarray, capacity: int, bins: dict[int, dict[Config, int]] | None = None) -> dict[Config, int]:
+    """Best fit by falling length, on counts: bins with the same content are one entry. ``bins``, by their room, are there already."""
+    bins = {} if bins is None else bins
 
     def put(free: int, config: Config, n: int) -> None:
         if n:
@@ -135,28 +136,46 @@ def best_fit(counts: np.ndarray, capacity: int) -> dict[Config, int]:
     return out
 
 
+def rounded(program: dict[Config, float], counts: np.ndarray, capacity: int) -> dict[Config, int]:
+    """Whole multiplicities of configurations that hold exactly the counts.
+
+    Those of the program are rounded down, the largest first. Copies for which a length has run out stay without it, with room; what no copy
+    holds goes to best fit, into this room first.
+    """
+    rest = counts.astype(np.int64).copy()
+    bins: dict[int, dict[Config, int]] = {}
+    for config, x in sorted(program.items(), key=lambda c: (-c[1], c[0])):
+        left = int(x + 1e-6)
+        while left:
+            config = tuple((size, min(k, int(rest[size]))) for size, k in config if rest[size])
+            if not config:
+                break
+            n = min(left, *(int(rest[size]) // k for size, k in config))
+            own = bins.setdefault(capacity - sum(size * k for size, k in config), {})
+            own[config] = own.get(config, 0) + n
+            for size, k in config:
+                rest[size] -= k * n
+            left -= n
+    return best_fit(rest, capacity, bins)
+
+
 def plan(counts: np.ndarray, capacity: int) -> dict[Config, int]:
-    """Whole multiplicities of configurations that hold exactly the counts."""
+    """The fewest sequences found for the counts: the best rounding of the covering program, or plain best fit should that have fewer.
+
+    The program ends as soon as its rounding is within GAP of the dual bound (or is the bound's next whole number), at ROUNDS at the latest.
+    """
     left = counts.astype(np.int64).copy()
-    out: dict[Config, int] = {}
-    if left[capacity]:
-        out[((capacity, 1),)] = int(left[capacity])
-        left[capacity] = 0
+    whole = {((capacity, 1),): int(left[capacity])} if left[capacity] else {}
+    left[capacity] = 0
+    if not left.any():
+        return whole
+    size = lambda configs: sum(configs.values())
     found: list[dict[Config, int]] = []
-    for speed, share in SCHEDULES if left.any() else ():
-        rest, rounded = left.copy(), {}
-        for config, x in sorted(linear_program(left, capacity, speed, share).items(), key=lambda c: (-c[1], c[0])):
-            n = min(int(x + 1e-6), *(int(rest[size]) // k for size, k in config))
-            if n > 0:
-                rounded[config] = rounded.get(config, 0) + n
-                for size, k in config:
-                    rest[size] -= n * k
-        for config, n in best_fit(rest, capacity).items():
-            rounded[config] = rounded.get(config, 0) + n
-        found.append(rounded)
-    for config, n in min(found, key=lambda r: sum(r.values()), default={}).items():
-        out[config] = out.get(config, 0) + n
-    return out
+    for program, bound in covering_program(left, capacity):
+        found.append(rounded(program, left, capacity))
+        if size(found[-1]) <= max(np.ceil(bound - 1e-6), (1 + GAP) * bound):
+            break
+    return min(*found, best_fit(left, capacity), key=size) | whole
 
 
 def slots(configs: dict[Config, int], capacity: int) -> np.ndarray:

@@ -24,8 +24,42 @@ def test_plan_holds_the_counts_near_the_bound(seed):
             used[size] += n * k
     assert (used == counts).all()
     bound = max(-(-int((counts * np.arange(1025)).sum()) // 1024), int(counts[513:].sum()))
-    assert total <= 1.01 * bound
-    assert total <= 1.005 * sum(P.best_fit(counts, 1024).values()) + 2
+    assert bound <= total <= 1.01 * bound
+    assert total <= sum(P.best_fit(counts, 1024).values())
+
+
+def test_plan_has_fewer_sequences_than_best_fit():
+    # Best fit puts 500 with 500 and leaves 300 to threes; the program pairs them fully: 500 + 300 + 224.
+    counts = np.zeros(1025, int)
+    counts[[500, 300, 224]] = 4000
+    assert sum(P.plan(counts, 1024).values()) < sum(P.best_fit(counts, 1024).values())
+
+
+def test_dual_bound_holds_where_size_says_nothing():
+    # Three of 300 fit a sequence, whatever room is left: the size bound is 879, the fewest are 1000.
+    counts = np.zeros(1025, int)
+    counts[300] = 3000
+    *_, (program, bound) = P.covering_program(counts, 1024)
+    assert abs(bound - 1000) < 1e-6
+    assert P.plan(counts, 1024) == {((300, 3),): 1000}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_dual_bound_is_below_the_fewest_by_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(2, 11, 7).tolist()
+
+    def fewest(rest: tuple, rooms: tuple) -> int:
+        if not rest:
+            return len(rooms)
+        size, rest = rest[0], rest[1:]
+        tries = {(*rooms[:k], r - size, *rooms[k + 1 :]) for k, r in enumerate(rooms) if r >= size} | {(*rooms, 12 - size)}
+        return min(fewest(rest, t) for t in {tuple(sorted(t)) for t in tries})
+
+    counts = np.bincount(lengths, minlength=13)
+    exact = fewest(tuple(lengths), ())
+    assert all(bound <= exact + 1e-6 for _, bound in P.covering_program(counts, 12))
+    assert exact <= sum(P.plan(counts, 12).values()) <= exact + 1
 
 
 def test_plan_of_nothing():
