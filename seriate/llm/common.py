@@ -147,7 +147,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0..n of the hash base and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) <= n:
         size = max(n + 1, 1 << 16)
@@ -186,7 +186,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-    power, inverse = _powers(n)
+    power, inverse = powers(n)
     sums = np.zeros(n + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])

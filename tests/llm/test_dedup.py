@@ -117,6 +117,28 @@ def test_passages_whose_words_stand_in_earlier_documents(spark):
     assert all(got[k] == t for k, t in rows if k < 8000)
 
 
+def test_equal_passages_whose_runs_stand_in_earlier_documents(spark):
+    rng = random.Random(8)
+    unique = (f"u{k}" for k in range(10**6))
+    own = lambda n: [next(unique) for _ in range(n)]
+    rows, want = [], {}
+    for k in range(20):
+        passage = own(rng.randrange(51, 80))
+        # Every 35 words of the passage stand in an earlier document of other words, twice in some; equal runs meet there first.
+        for n, at in enumerate(range(0, len(passage) - 34, 5)):
+            part = passage[at : at + 35]
+            rows.append((1000 * n + k, " ".join(own(20) + part + own(20) + (part + own(9) if k % 3 == 0 else []))))
+        for n in range(3):
+            x, y = own(rng.randrange(0, 30)), own(rng.randrange(1, 30))
+            rows.append((1000 * (50 + n) + k, " ".join(x + passage + y)))
+            want[1000 * (50 + n) + k] = " ".join(x + (passage if n == 0 else []) + y)
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r for r in remove_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {k: got[k]["kept"] for k in want} == want
+    assert all(got[k]["component_id"] == 50000 + k % 1000 for k in want)
+    assert all(got[k]["kept"] == t and got[k]["component_id"] == k for k, t in rows if k < 50000)
+
+
 def test_passages_with_inserted_deleted_and_replaced_words(spark):
     passage = [f"p{k}" for k in range(70)]
     edits = [passage[:35] + ["new"] + passage[35:], passage[:35] + passage[36:], passage[:34] + ["x", "y", "z"] + passage[37:], passage[:34] + ["x", "y", "z", "v"] + passage[36:]]
