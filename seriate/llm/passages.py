@@ -4,8 +4,8 @@ A paragraph is any run of WINDOW five-word shingles, so that a passage is met wh
 of its permutation over a paragraph's shingles; paragraphs that follow each other mostly pick the same. Its key is that value with the
 least one of the SIDE shingles before it, and, as a second key, of those after it, so that a common phrase in another context is no
 collision; a paragraph holds one of both sides whole. Besides, of every LEAST_EQUAL words one run of EQUAL words is a key, so that equal
-passages meet whatever else holds their parts. Collisions are joined to the first document with the key, and windows about equal runs that this
-document has not to the first one with the window; those of two documents at one distance are a chain, whose stretches are compared word by word, small gaps bridged, and confirmed on the exact Jaccard similarity of
+passages meet whatever else holds their parts. Collisions are joined to the first document with the key, and equal runs that this document
+holds in other surroundings, with more words on either side, to the first one with these; those of two documents at one distance are a chain, whose stretches are compared word by word, small gaps bridged, and confirmed on the exact Jaccard similarity of
 their shingles; where more shingles are common than that explains, the stretches are aligned with insertions and deletions, and the
 aligned spans are confirmed alike. The first document keeps a passage, the others lose it; components of documents linked so are named
 by their least id.
@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_heavy, mix, powers, rows_with, shingles, staged, text_slices, texts_of, words
+from .common import discard, join_heavy, mix, rows_with, shingles, staged, text_slices, texts_of, words
 from .components import components
 
 #: Words of a shingle, shingles of a paragraph, bands of one permutation each.
@@ -27,6 +28,8 @@ SHINGLE, WINDOW, BANDS = 5, 40, 2
 SIDE = 16
 #: Words of a run that is a key by itself, and the words of a passage that holds a picked run for certain.
 EQUAL, LEAST_EQUAL = 28, 51
+#: Words before or after such a run that are part of a longer key: LEAST_EQUAL words about a run have as many on one side at least.
+MORE = 12
 #: The least words of a passage, the least similarity, and the longest gap (in words) bridged within it.
 LEAST_WORDS, LEAST_LIKENESS, GAP = 40, 0.8, 2
 #: Words that are compared beyond the outermost keys of a chain: a paragraph and a gap at least.
@@ -95,16 +98,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, word, key
 
 
-def window_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The hash of every LEAST_EQUAL words that follow each other."""
-    n = len(hashes) - LEAST_EQUAL + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    power, inverse = powers(len(hashes))
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
-        return mix((sums[LEAST_EQUAL:] - sums[:n]) * inverse[:n])
+def longer_runs(x: bytes, y: bytes, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first word, key) of the equal runs of two sequences of 64-bit word hashes, with MORE words before or after them, that differ in y.
+
+    ``places`` are the first words of a run in x and y. What reaches beyond x has no key.
+    """
+    found = []
+    for i, j in places:
+        for first, there, a, b in ((i - MORE, j - MORE, i - MORE, j - MORE), (i, j, i + EQUAL, j + EQUAL)):
+            if first < 0 or 8 * (first + EQUAL + MORE) > len(x):
+                continue
+            if there < 0 or x[8 * a : 8 * (a + MORE)] != y[8 * b : 8 * (b + MORE)]:
+                found.append((first, xxhash.xxh64_intdigest(x[8 * first : 8 * (first + EQUAL + MORE)])))
+    return found
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
@@ -278,10 +284,10 @@ def shared_passages(x: np.ndarray, y: np.ndarray, lag: int = 0) -> list[tuple[in
 
 
 def _confirmed(chains: DataFrame) -> DataFrame:
-    """What chains with both stretches (x, y) of word hashes hold: passages, and windows that the other document has not.
+    """What chains with both stretches (x, y) of word hashes hold: passages, and longer runs that the other document has not.
 
-    A passage is (id, th, first, stop, other, other_th, other_first, other_stop). A window is (id, th, first) and its hash in ``key``: those
-    of LEAST_EQUAL words that hold one of the chain's equal runs but do not stand in the other document's stretch.
+    A passage is (id, th, first, stop, other, other_th, other_first, other_stop). A longer run is (id, th, first) and its hash in ``key``: one
+    of the chain's equal runs with MORE words before or after it that are not those of the other document.
     """
     kind = chains.schema["id"].dataType.simpleString()
     names = ["id", "th", "first", "stop", "other", "other_th", "other_first", "other_stop", "key"]
@@ -291,48 +297,44 @@ def _confirmed(chains: DataFrame) -> DataFrame:
             rows, spans = [], []
             own, other = (np.maximum(0, batch.column(c).to_numpy()) for c in (6, 7))
             ahead = other + batch.column(8).to_numpy() - own
-            low, high = (batch.column(c).to_pylist() for c in (9, 10))
-            twins = batch.column(11).to_pylist()
+            runs, twins = batch.column(9).to_pylist(), batch.column(10).to_pylist()
             for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                start, there = int(own[k]), int(other[k])
+                if runs[k]:
+                    longer = longer_runs(x.as_py(), y.as_py(), [(r["at"] - start, r["other_at"] - there) for r in runs[k]])
+                    rows += [k] * len(longer)
+                    spans += [(start + first, None, None, None, key - (key >> 63 << 64)) for first, key in longer]
                 x, y = (np.frombuffer(c.as_buffer(), np.uint64) for c in (x, y))
-                start = int(own[k])
                 if min(len(x), len(y)) >= LEAST_WORDS and not twins[k]:
                     for a, b, c, d in shared_passages(x, y, int(ahead[k])):
                         rows.append(k)
-                        spans.append((start + a, start + b, int(other[k]) + c, int(other[k]) + d, None))
-                if low[k] is not None and len(x) >= LEAST_EQUAL:
-                    first = max(0, low[k] - (LEAST_EQUAL - EQUAL) - start)
-                    whole = window_hashes(x[first : high[k] - start + LEAST_EQUAL])
-                    alone = np.flatnonzero(~np.isin(whole, window_hashes(y)))
-                    rows += [k] * len(alone)
-                    spans += [(start + first + w, None, None, None, key) for w, key in zip(alone.tolist(), whole[alone].view(np.int64).tolist())]
+                        spans.append((start + a, start + b, there + c, there + d, None))
             if rows:
                 at = pa.array(rows)
                 first, stop, there, end, key = (pa.array(c, pa.int64()) for c in zip(*spans))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), first, stop, batch.column(2).take(at), batch.column(3).take(at), there, end, key], names)
 
     twin = F.expr("id = other and th = other_th")
-    rows = chains.select("id", "th", "other", "other_th", "x", "y", "lo", "other_lo", "distance", "run_lo", "run_hi", twin)
+    rows = chains.select("id", "th", "other", "other_th", "x", "y", "lo", "other_lo", "distance", "runs", twin)
     return rows.mapInArrow(run, f"id {kind}, th int, first long, stop long, other {kind}, other_th int, other_first long, other_stop long, key long")
 
 
 def _compared(texts: DataFrame, found: DataFrame, few: bool) -> DataFrame:
     """What comes of comparing the occurrences (id, th, at, key) of each key with the first one; see _confirmed.
 
-    With ``few``, occurrences are windows, of which texts hold few: no other text is shuffled.
+    With ``few``, occurrences are longer runs, which few texts hold: no other text is shuffled.
     """
     heads = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("head")).where("n > 1")
     heads = staged(heads, "heads")
     own = join_heavy(found, heads, "key", "n").select("id", "th", "at", (F.col("key").bitwiseAND(1) == 1).alias("run"), F.col("head.id").alias("other"), F.col("head.th").alias("other_th"), F.col("head.at").alias("other_at"))
     twin = "id = other and th = other_th"
-    # A run's other places in its first document have windows of their own; passages within a document stay.
+    # A run's other places in its first document may be longer runs; passages within a document stay.
     own = own.where(f"not ({twin})" if few else f"not ({twin}) or run and at <> other_at")
     lane = F.floor((F.col("at") - F.col("other_at")) / LANE)
-    size = LEAST_EQUAL if few else EQUAL
+    size = EQUAL + MORE if few else EQUAL
     ends = lambda at: [F.min(at).cast("long") - REACH, F.max(at).cast("long") + size + REACH]
     spans = [e.alias(n) for e, n in zip([*ends("at"), *ends("other_at")], ["lo", "hi", "other_lo", "other_hi"])]
-    at_run = F.when(F.col("run") & ~F.lit(few), F.col("at")).cast("long")
-    spans += [F.min(at_run).alias("run_lo"), F.max(at_run).alias("run_hi")]
+    spans.append(F.collect_list(F.when(F.col("run") & ~F.lit(few), F.struct("at", "other_at"))).alias("runs"))
     chains = own.groupBy("id", "th", "other", "other_th", lane.alias("lane")).agg(F.mode(F.col("at") - F.col("other_at"), deterministic=True).cast("long").alias("distance"), *spans)
     chains = staged(chains.drop("lane"), "chains")
     discard(heads)
@@ -349,20 +351,17 @@ def _compared(texts: DataFrame, found: DataFrame, few: bool) -> DataFrame:
 def repeated_passages(texts: DataFrame) -> DataFrame:
     """(id, th, first, stop, other, other_th, other_first, other_stop): passages, in words, that a document shares with the first that has a key.
 
-    The first document with an equal run may hold it in other surroundings. The windows of LEAST_EQUAL words about such runs are keys in a
-    second round, so that no equal passage of as many words is lost: whatever shares such a key shares the whole window.
+    The first document with an equal run may hold it in other surroundings. Such runs with more words on either side are keys of a second
+    round: documents that share LEAST_EQUAL words share one of these keys, or both share it with the first document; and what shares one
+    shares EQUAL + MORE words, which are a passage. So no link by as many equal words is lost.
     """
     found = staged(_anchor_rows(texts.where("id is not null")), "anchors")
     first = _compared(texts, found, few=False)
     discard(found)
     passages = ["id", "th", "first", "stop", "other", "other_th", "other_first", "other_stop"]
     out = first.where("key is null").select(*passages)
-    windows = first.where("key is not null").select("id", "th", F.col("first").cast("int").alias("at"), "key").distinct()
-    shared = windows.groupBy("key").agg(F.count_distinct("id", "th").alias("n")).where("n > 1").drop("n")
-    windows = staged(windows.join(shared, "key"), "windows")
-    if windows.isEmpty():
-        return out
-    return out.unionByName(_compared(texts, windows, few=True).select(*passages))
+    longer = first.where("key is not null").select("id", "th", F.col("first").cast("int").alias("at"), "key")
+    return out.unionByName(_compared(texts, longer, few=True).select(*passages))
 
 
 def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

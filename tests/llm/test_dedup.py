@@ -124,9 +124,9 @@ def test_equal_passages_whose_runs_stand_in_earlier_documents(spark):
     rows, want = [], {}
     for k in range(20):
         passage = own(rng.randrange(51, 80))
-        # Every 35 words of the passage stand in an earlier document of other words, twice in some; equal runs meet there first.
+        # Every equal run of the passage stands in an earlier document of other words, twice in some.
         for n, at in enumerate(range(0, len(passage) - 34, 5)):
-            part = passage[at : at + 35]
+            part = passage[at : at + 35] if k % 2 else passage[at : at + 33]
             rows.append((1000 * n + k, " ".join(own(20) + part + own(20) + (part + own(9) if k % 3 == 0 else []))))
         for n in range(3):
             x, y = own(rng.randrange(0, 30)), own(rng.randrange(1, 30))
