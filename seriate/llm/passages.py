@@ -301,7 +301,7 @@ def _confirmed(chains: DataFrame) -> DataFrame:
             for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
                 start, there = int(own[k]), int(other[k])
                 if runs[k]:
-                    longer = longer_runs(x.as_py(), y.as_py(), [(r["at"] - start, r["other_at"] - there) for r in runs[k]])
+                    longer = longer_runs(x.as_py(), y.as_py(), [((r >> 32) - start, (r & 0xFFFFFFFF) - there) for r in runs[k]])
                     rows += [k] * len(longer)
                     spans += [(start + first, None, None, None, key - (key >> 63 << 64)) for first, key in longer]
                 x, y = (np.frombuffer(c.as_buffer(), np.uint64) for c in (x, y))
@@ -322,7 +322,8 @@ def _confirmed(chains: DataFrame) -> DataFrame:
 def _compared(texts: DataFrame, found: DataFrame, few: bool) -> DataFrame:
     """What comes of comparing the occurrences (id, th, at, key) of each key with the first one; see _confirmed.
 
-    With ``few``, occurrences are longer runs, which few texts hold: no other text is shuffled.
+    With ``few``, occurrences are longer runs, which few texts hold: no other text is shuffled. Else they are a staged table, which is deleted
+    as soon as chains are written.
     """
     heads = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("head")).where("n > 1")
     heads = staged(heads, "heads")
@@ -334,10 +335,12 @@ def _compared(texts: DataFrame, found: DataFrame, few: bool) -> DataFrame:
     size = EQUAL + MORE if few else EQUAL
     ends = lambda at: [F.min(at).cast("long") - REACH, F.max(at).cast("long") + size + REACH]
     spans = [e.alias(n) for e, n in zip([*ends("at"), *ends("other_at")], ["lo", "hi", "other_lo", "other_hi"])]
-    spans.append(F.collect_list(F.when(F.col("run") & ~F.lit(few), F.struct("at", "other_at"))).alias("runs"))
+    # Both places of a run in one number.
+    places = F.shiftleft(F.col("at").cast("long"), 32) + F.col("other_at")
+    spans.append(F.collect_list(F.when(F.col("run") & ~F.lit(few), places)).alias("runs"))
     chains = own.groupBy("id", "th", "other", "other_th", lane.alias("lane")).agg(F.mode(F.col("at") - F.col("other_at"), deterministic=True).cast("long").alias("distance"), *spans)
     chains = staged(chains.drop("lane"), "chains")
-    discard(heads)
+    discard(heads, *([] if few else [found]))
     there = ["other", "other_th", "other_lo", "other_hi"]
     wanted = chains.select("id", "th", "lo", "hi").unionByName(chains.select(*(F.col(c).alias(c.removeprefix("other_") if c != "other" else "id") for c in there)))
     read = staged(_stretches(rows_with(texts, ["id", "th"], wanted) if few else texts, wanted), "stretches")
@@ -357,7 +360,6 @@ def repeated_passages(texts: DataFrame) -> DataFrame:
     """
     found = staged(_anchor_rows(texts.where("id is not null")), "anchors")
     first = _compared(texts, found, few=False)
-    discard(found)
     passages = ["id", "th", "first", "stop", "other", "other_th", "other_first", "other_stop"]
     out = first.where("key is null").select(*passages)
     longer = first.where("key is not null").select("id", "th", F.col("first").cast("int").alias("at"), "key")
