@@ -1,17 +1,45 @@
 """Aggregates over ordered values, as columns: each takes the value and the order (a column that compares) and any parameters.
 
-They compose: ``filtering``, ``mapping``, ``flat_mapping``, ``teeing`` and ``and_then`` wrap others, and all work under groupBy.
+They compose: ``filtering``, ``mapping``, ``flat_mapping``, ``teeing`` and ``and_then`` wrap others, and all work under groupBy. Some compare
+each row with an aggregate of its group; ``collected`` adds it to the rows first, so that a group need not be gathered for it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.order import with_totals
+
 Collector = Callable[[Column, Column], Column]
 
+#: The aggregates of groups that the collectors of one ``collected`` compare rows with, by column name.
+_TOTALS: ContextVar[dict[str, Column] | None] = ContextVar("totals", default=None)
+
+
+def collected(df: DataFrame, keys: list[str], x: Column, at: Column, aggregates: dict[str, Column | Collector]) -> DataFrame:
+    """One row for each group, with columns that aggregate, or collectors of the value and the order."""
+    totals: dict[str, Column] = {}
+    token = _TOTALS.set(totals)
+    try:
+        own = [(a(x, at) if callable(a) else a).alias(n) for n, a in aggregates.items()]
+    finally:
+        _TOTALS.reset(token)
+    return (with_totals(df, keys, totals) if totals else df).groupBy(*keys).agg(*own)
+
+
+def _total(e: Column) -> Column | None:
+    """An aggregate of the group as a column of each row; none outside of ``collected``."""
+    totals = _TOTALS.get()
+    if totals is None:
+        return None
+    name = f"_total{len(totals)}"
+    totals[name] = e
+    return F.col(name)
+
 
 def to_list(x: Column, at: Column) -> Column:
     """All values in order, nulls included; a row without a place is no element."""
@@ -95,9 +123,13 @@ def min_all(key: Callable[[Column], Column] = lambda x: x, downstream: Collector
     """All values with the least (or greatest) key, in order; null keys don't count."""
 
     def collect(x: Column, at: Column) -> Column:
-        rows = F.array_sort(F.filter(F.collect_list(F.struct(at.alias("at"), key(x).alias("k"), x.alias("x"))), lambda r: r["k"].isNotNull()))
-        top = (F.array_max if greatest else F.array_min)(F.transform(rows, lambda r: r["k"]))
-        return F.transform(F.filter(rows, lambda r: r["k"] == top), lambda r: r["x"])
+        k = F.when(at.isNotNull(), key(x))
+        best = (F.max if greatest else F.min)(k)
+        top = _total(best)
+        if top is not None:
+            return to_list(F.when(k == top, x), F.when(k == top, at))
+        rows = F.collect_list(F.when(k.isNotNull(), F.struct(at.alias("at"), k.alias("k"), x.alias("x"))))
+        return F.transform(F.array_sort(F.filter(rows, lambda r: r["k"] == best)), lambda r: r["x"])
 
     return collect
 

@@ -495,8 +495,7 @@ class Seq:
 
     def collect(self, **aggregates: Column | Callable[[Column, Column], Column]) -> DataFrame:
         """One row for each sequence; a callable gets the value and the order as columns."""
-        own = [(a(self.x, self._at) if callable(a) else a).alias(n) for n, a in aggregates.items()]
-        return self.df.groupBy(*self.by).agg(*own)
+        return C.collected(self.df, self.by, self.x, self._at, aggregates)
 
     def count(self, p: Fn | None = None) -> DataFrame:
         return self.collect(n=F.count(F.lit(1)) if p is None else F.count_if(p(self.x)))
@@ -563,7 +562,7 @@ class Seq:
         rows = self.df.withColumn("key", flag).withColumn("_row", F.lit(True))
         both = O.join_keys(sides, rows, [*self.by, "key"], "left", self.by)
         value, at = F.when(F.col("_row"), self.x), F.when(F.col("_row"), F.struct(*self.order))
-        return both.groupBy(*self.by, "key").agg(*((a(value, at) if callable(a) else a).alias(n) for n, a in own.items()))
+        return C.collected(both, [*self.by, "key"], value, at, own)
 
     def sum(self) -> DataFrame:
         """The sum; whole numbers wrap at their width, and nothing sums to 0."""

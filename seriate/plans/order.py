@@ -119,6 +119,12 @@ def with_position(df: DataFrame, keys: list[str], order: list[str], name: str =
     return out.withColumn(name, F.col(name) - 1)
 
 
+def with_totals(df: DataFrame, keys: list[str], wanted: dict[str, Column]) -> DataFrame:
+    """Add aggregates of each sequence to all its rows."""
+    totals = df.groupBy(*keys).agg(*(e.alias(n) for n, e in wanted.items()))
+    return join_keys(df, totals, keys, null_safe=keys) if keys else df.crossJoin(F.broadcast(totals))  # a single row
+
+
 def with_edges(df: DataFrame, keys: list[str], order: list[str], wanted: dict[str, Column], last: bool = False) -> DataFrame:
     """Add expressions of the first (or last) row of each sequence to all its rows."""
     pick = F.max_by if last else F.min_by

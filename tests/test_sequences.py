@@ -1,6 +1,7 @@
 """Literal cases of the sequence operators, under several partitionings, with nulls, ties and empty input."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,29 @@ def test_aggregates(seq):
     assert only(s.non_null().fold_right(F.lit(0), lambda x, a: a * 10 + x)) == 1313
 
 
+def test_top_values_of_large_groups(spark):
+    """Rows are compared with the top of their group, found once: with a top for each row this takes minutes, as it grows with the square."""
+    n = 60_000
+    rows = spark.range(n).selectExpr("id", "if(id % 3 = 0, null, id % 2) as g", "if(id % 5 = 0, null, (id * 7919) % 50) as k").repartition(5)
+    want = {}
+    for i in range(n):
+        if i % 5:
+            want.setdefault(None if i % 3 == 0 else i % 2, {}).setdefault(i * 7919 % 50, []).append(i)
+    keyed, key = Seq(rows, "id", "id", "g"), lambda x: F.col("k")
+    odd = C.filtering(lambda x: x % 2 == 1, C.max_all(key))
+    started = time.monotonic()
+    got = {r["g"]: r for r in keyed.collect(most=C.max_all(key), least=C.min_all(key), odd=odd, none=C.max_all(lambda x: F.lit(None).cast("int"))).collect()}
+    plain = {r["g"]: r["most"] for r in rows.groupBy("g").agg(C.max_all(key)(F.col("id"), F.col("id")).alias("most")).collect()}
+    assert time.monotonic() - started < 60
+    assert set(got) == set(want) == {None, 0, 1}
+    for g, found in want.items():
+        assert got[g]["most"] == plain[g] == found[max(found)] and got[g]["least"] == found[min(found)] and got[g]["none"] == []
+        odds = [k for k in found if any(i % 2 for i in found[k])]
+        assert got[g]["odd"] == ([i for i in found[max(odds)] if i % 2] if odds else [])
+    assert only(Seq(rows, "id", "id").collect(most=C.max_all(key))) == [i for i in range(n) if i % 5 and i * 7919 % 50 == 49]
+    assert only(Seq(rows.where("k < 0"), "id", "id").collect(most=C.max_all(key))) == []
+
+
 def test_grouping(seq):
     s = seq(["a", "bb", "c", "dd", "eee"], "string")
     assert {r["key"]: r["value"] for r in s.grouping_by(F.length).collect()} == {1: ["a", "c"], 2: ["bb", "dd"], 3: ["eee"]}
