@@ -105,12 +105,16 @@ def min_by(key: Callable[[Column], Column] = lambda x: x) -> Collector:
 
 
 def max_by(key: Callable[[Column], Column] = lambda x: x) -> Collector:
-    """The first value with the greatest key. ``rank`` orders ties: of equal keys the least place wins."""
+    """The first value with the greatest key: of equal keys the least place wins; null keys don't count."""
 
     def collect(x: Column, at: Column) -> Column:
-        rows = F.filter(F.collect_list(F.struct(key(x).alias("k"), at.alias("at"), x.alias("x"))), lambda r: r["k"].isNotNull())
-        top = F.array_max(F.transform(rows, lambda r: r["k"]))
-        return F.array_min(F.transform(F.filter(rows, lambda r: r["k"] == top), lambda r: F.struct(r["at"], r["x"])))["x"]
+        k = F.when(at.isNotNull(), key(x))
+        best = F.max(k)
+        top = _total(best)
+        if top is not None:
+            return F.min_by(F.when(k == top, x), F.when(k == top, at))
+        rows = F.collect_list(F.when(k.isNotNull(), F.struct(at.alias("at"), k.alias("k"), x.alias("x"))))
+        return F.array_min(F.transform(F.filter(rows, lambda r: r["k"] == best), lambda r: F.struct(r["at"], r["x"])))["x"]
 
     return collect
 

@@ -284,7 +284,8 @@ def max_all(spark, d):
 @query("select c_nationkey, arg_min(c_custkey, (c_acctbal, c_custkey)) as least, max(c_custkey) filter (c_acctbal = top) as most from (select *, max(c_acctbal) over (partition by c_nationkey) as top from customer) group by c_nationkey")
 def min_max_by(spark, d):
     seq = Seq(table(spark, d, "customer"), "c_custkey", "c_custkey", "c_nationkey")
-    return seq.collect(least=C.min_by(lambda x: F.col("c_acctbal")), most=C.max_by(lambda x: F.col("c_acctbal")))
+    last = F.when(F.col("c_acctbal").isNotNull(), F.struct("c_acctbal", "c_custkey"))  # of equal balances max_by takes the first
+    return seq.collect(least=C.min_by(lambda x: F.col("c_acctbal")), most=C.max_by(lambda x: last))
 
 
 @query("with p as (select *, row_number() over (partition by c_nationkey order by c_custkey) - 1 as i from customer) select c_nationkey, arg_min(i, (c_mktsegment, i)) as lo, arg_max(i, (c_mktsegment, -i)) as hi from p group by c_nationkey")

@@ -35,3 +35,13 @@ def test_query_equals_sql(spark, duck, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert rows(got, columns) == rows(want, columns)
+
+
+def test_ties_of_balances_equal_sql(spark, tmp_path):
+    """Of customers with one balance the SQL takes the least and the greatest key."""
+    connection = duckdb.connect()
+    connection.sql(f"copy (select c.* replace (cast(c_custkey + 1000000 * i as bigint) as c_custkey) from range(3) r(i), '{DATA}/customer.parquet' c) to '{tmp_path}/customer.parquet'")
+    connection.sql(f"create view customer as select * from '{tmp_path}/customer.parquet'")
+    got, want = registry.queries()["min_max_by"](spark, str(tmp_path)).toPandas(), connection.sql(registry.oracle_sql()["min_max_by"]).df()
+    columns = sorted(got.columns)
+    assert rows(got, columns) == rows(want, columns)
