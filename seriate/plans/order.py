@@ -1,7 +1,7 @@
 """Ordered columns at scale: neighbours, running aggregates and dense positions under an explicit total order.
 
 A window without a partition would gather a whole table in one task. Where a sequence has no key, its rows are therefore dealt into ranges
-of the leading order column; windows run within a range, and what a range must know of those before it (or after it) is summed up from
+of the leading order columns; windows run within a range, and what a range must know of those before it (or after it) is summed up from
 one row for each range. Sequences with keys use plain windows over their keys.
 """
 
@@ -25,38 +25,65 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
 
 
-def bounds(df: DataFrame, order: list[str], ranges: int) -> list:
-    """Up to ranges - 1 bounds of the leading order column, from SAMPLED rows at most: those with the least hash of their order.
+def _same(a, b) -> bool:
+    """Whether Spark orders two values as one: null equals null, and NaN equals NaN."""
+    return a == b or (a != a and b != b)
 
+
+def bounds(df: DataFrame, order: list[str], ranges: int) -> list[tuple]:
+    """Up to ranges - 1 bounds of the order, from SAMPLED rows at most: those with the least hash of their order.
+
+    A bound has the values of as many leading columns as tell all bounds apart, so that a column with few values makes no large range.
     Each task hands on its own least hashes only; there is no shuffle.
     """
-    rows = df.where(F.col(order[0]).isNotNull()).select(F.col(order[0]).alias("v"), F.xxhash64(*order).alias("h")).orderBy("h").limit(SAMPLED)
-    values = sorted(r["v"] for r in rows.collect())
+    names = [f"v{k}" for k in range(len(order))]
+    rows = df.select(*(F.col(c).alias(n) for c, n in zip(order, names)), F.xxhash64(*order).alias("h")).orderBy("h").limit(SAMPLED)
+    values = [tuple(r) for r in rows.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("all")).first()["all"]]
     ranges = max(1, min(ranges, len(values) // 2))
     found = [values[len(values) * k // ranges] for k in range(1, ranges)]
-    return [v for k, v in enumerate(found) if not k or v != found[k - 1]]
+    for width in range(1, len(order) + 1):
+        cuts = [v[:width] for v in found]
+        distinct = [v for k, v in enumerate(cuts) if not k or not all(map(_same, v, cuts[k - 1]))]
+        if len(distinct) == len(cuts):
+            break
+    return distinct
 
 
-def cuts_of(df: DataFrame, keys: list[str], order: list[str]) -> list | None:
+def cuts_of(df: DataFrame, keys: list[str], order: list[str]) -> list[tuple] | None:
     """The bounds of a table's ranges, for operators in a row that share them; none where there are keys."""
     if keys:
         return None
     return bounds(df, order, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
 
 
-def _number(x: Column, cuts: list, low: int) -> Column:
-    """How many of the sorted cuts x has reached, by halving."""
-    if not cuts:
+def _number(lead: list[Column], cuts: list[tuple], low: int = 0) -> Column:
+    """How many of the sorted cuts a row has reached, column by column; a null is less than all other values."""
+    if not cuts or not lead:
+        return F.lit(low + len(cuts))
+    starts = [k for k, v in enumerate(cuts) if not k or not _same(v[0], cuts[k - 1][0])]
+    groups = [(cuts[a][0], [v[1:] for v in cuts[a:b]], low + a) for a, b in zip(starts, [*starts[1:], len(cuts)])]
+    null = low
+    if groups[0][0] is None:
+        _, rest, at = groups.pop(0)
+        null, low = _number(lead[1:], rest, at), low + len(rest)
+    return F.when(lead[0].isNull(), null).otherwise(_halved(lead, groups, low))
+
+
+def _halved(lead: list[Column], groups: list[tuple], low: int) -> Column:
+    """The same by halving, over groups of cuts with one leading value: (the value, the cuts' other values, the cuts before)."""
+    if not groups:
         return F.lit(low)
-    half = len(cuts) // 2
-    return F.when(x < F.lit(cuts[half]), _number(x, cuts[:half], low)).otherwise(_number(x, cuts[half + 1 :], low + half + 1))
+    half = len(groups) // 2
+    value, rest, at = groups[half]
+    below, above = _halved(lead, groups[:half], low), _halved(lead, groups[half + 1 :], at + len(rest))
+    found = F.when(lead[0] < F.lit(value), below)
+    return (found.when(lead[0] == F.lit(value), _number(lead[1:], rest, at)) if len(lead) > 1 else found).otherwise(above)
 
 
-def in_ranges(df: DataFrame, order: list[str], cuts: list | None = None) -> DataFrame:
+def in_ranges(df: DataFrame, order: list[str], cuts: list[tuple] | None = None) -> DataFrame:
     """Add the number of the range of every row, so that ranges follow each other in the order; a null leads."""
     cuts = cuts_of(df, [], order) if cuts is None else cuts
-    lead = F.col(order[0])
-    return df.withColumn(_RANGE, F.when(lead.isNull(), -1).otherwise(_number(lead, cuts, 0)) if cuts else F.lit(0))
+    return df.withColumn(_RANGE, _number([F.col(c) for c in order[: len(cuts[0])]], cuts) if cuts else F.lit(0))
 
 
 def _window(keys: list[str], order: list[str], backward: bool = False):

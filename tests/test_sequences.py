@@ -99,6 +99,30 @@ def test_global_order_meets_windows(spark, monkeypatch):
             assert back[k]["s"] == len(want) - k
 
 
+def test_ranges_follow_the_whole_order(spark):
+    """Where leading columns have few values, the next ones tell ranges apart, so that no range holds most rows."""
+    nan = float("nan")
+    leads = [None, -1.0, -0.0, 0.0, nan]
+    rows = [(0, leads[k % 5], None if k % 7 == 0 else "ab"[k % 2], k) for k in range(4000)]
+    df = spark.createDataFrame(rows, "zero int, lead double, text string, id bigint").repartition(5)
+    place = lambda r: (-math.inf if r[1] is None else math.inf if r[1] != r[1] else r[1], r[2] or "", r[3])
+    want = [r[3] for r in sorted(rows, key=place)]
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        for order in (["zero", "lead", "text", "id"], ["lead", "text", "id"], ["text", "id"], ["id"]):
+            sizes = [r["count"] for r in O.in_ranges(df, order).groupBy("_range").count().collect()]
+            assert len(sizes) == 32 and max(sizes) <= 4000 // 8, order
+        for order in (["zero", "lead", "text", "id"], ["lead", "text", "id"]):
+            assert [r["id"] for r in O.with_position(df, [], order).orderBy("_pos").collect()] == want
+            assert [r["_pos"] for r in O.with_position(df, [], order).select("_pos").orderBy("_pos").collect()] == list(range(4000))
+        down = Seq(df.where("lead is not null"), "lead", "id").reverse_sorted()
+        sizes = [r["count"] for r in O.in_ranges(down.df, down.order).groupBy("_range").count().collect()]
+        assert max(sizes) <= 3200 // 8
+        assert [r["id"] for r in down.skip(790).limit(20).ordered().collect()] == [*range(3954, 4000, 5), *range(3, 53, 5)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_sets_and_order(seq, spark):
     assert seq([x // 3 for x in range(12)]).distinct(at_least=3).to_list() == [0, 1, 2, 3]
     assert seq([None, 1, None, 1, 2]).distinct().to_list() == [None, 1, 2] and seq([1, None, 3]).without(None, 3).to_list() == [1]
