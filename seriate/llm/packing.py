@@ -194,13 +194,19 @@ def slots(configs: dict[Config, int], capacity: int) -> np.ndarray:
     return table[np.lexsort((table[:, 1], table[:, 0]))]
 
 
+def _added_tokens(tokenizer: str) -> list[dict]:
+    with open(tokenizer, encoding="utf-8") as f:
+        return json.load(f).get("added_tokens", [])
+
+
 class _Ranks(PairIndexBpe):
     """The same vocabulary with a library's merges for unseen parts; ids equal those of the file's own merges, which are not kept here."""
 
-    def __init__(self, specials: list[dict], ranks: str):
+    def __init__(self, specials: list[dict] | str, ranks: str):
+        """``specials`` is the list of added tokens, or the path of the vocabulary file that has it."""
         import tiktoken
 
-        self._specials({"added_tokens": specials})
+        self._specials({"added_tokens": _added_tokens(specials) if isinstance(specials, str) else specials})
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.core = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
@@ -229,8 +235,7 @@ def pieces(df: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     kind = df.schema[id_col].dataType.simpleString()
     names = ["id", "piece", "start", "length", "ids_crc32", "part", "number"]
 
-    with open(tokenizer, encoding="utf-8") as f:
-        specials = json.load(f).get("added_tokens", [])  # read once, as the whole file takes much memory in a worker
+    specials = _added_tokens(tokenizer)  # read once, as the whole file takes much memory in a worker
 
     def run(batches):
         bpe = _encoder(tokenizer, ranks, specials)
