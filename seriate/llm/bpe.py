@@ -58,6 +58,9 @@ class Strings:
 class PairIndexBpe:
     """Encoder and decoder of a ``tokenizers`` byte-level BPE file."""
 
+    #: CACHE_ENTRIES that this encoder keeps: a cache that is less than the common words of a task is filled anew for each batch.
+    caches = 4
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -159,13 +162,19 @@ class PairIndexBpe:
         return out
 
     def ids_of(self, chunks: list[str]) -> list[bytes]:
-        """The ids of parts of texts, each encoded by itself."""
-        findall, pieces_of = self.pattern.findall, self.pieces
-        split = [findall(c) for c in chunks]
-        new = list({p for pieces in split for p in pieces if p not in pieces_of})
-        if new:
-            pieces_of.update(zip(new, self.encode_words([p.encode() for p in new])))
-        return [pieces_of[p[0]] if len(p) == 1 else b"".join([pieces_of[x] for x in p]) for p in split]
+        """The ids of parts of texts, each encoded by itself; a part that is one pre-token is kept by the caller only."""
+        findall, kept = self.pattern.findall, self.pieces
+        split = list(map(findall, chunks))
+        several = {x for p in split if len(p) > 1 for x in p if x not in kept}
+        single = {p[0] for p in split if len(p) == 1 and p[0] not in kept}
+        single -= several
+        new = [*several, *single]
+        if not new:
+            return [b"".join([kept[x] for x in p]) for p in split]
+        ids = self.encode_words([p.encode() for p in new])
+        kept.update(zip(several, ids))
+        alone = dict(zip(single, ids[len(several) :]))
+        return [(alone[p[0]] if p[0] in alone else kept[p[0]]) if len(p) == 1 else b"".join([kept[x] for x in p]) for p in split]
 
     def _cut(self, text: str) -> list[str]:
         """The parts of a text that can be encoded each by itself; all but the first stand without their leading space.
@@ -195,7 +204,7 @@ class PairIndexBpe:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, little-endian with four bytes each."""
         spaced, special = self.spaced, self.special
-        if len(spaced) + len(self.pieces) > CACHE_ENTRIES or self.long_chars > CACHE_CHARS:
+        if len(spaced) + len(self.pieces) > self.caches * CACHE_ENTRIES or self.long_chars > CACHE_CHARS:
             self.forget()
         get = spaced.get
         heads: list[str] = []

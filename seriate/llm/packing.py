@@ -202,6 +202,8 @@ def _added_tokens(tokenizer: str) -> list[dict]:
 class _Ranks(PairIndexBpe):
     """The same vocabulary with a library's merges for unseen parts; ids equal those of the file's own merges, which are not kept here."""
 
+    caches = 1
+
     def __init__(self, specials: list[dict] | str, ranks: str):
         """``specials`` is the list of added tokens, or the path of the vocabulary file that has it."""
         import tiktoken

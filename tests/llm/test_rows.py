@@ -48,6 +48,21 @@ def test_bpe_memory_is_bounded(monkeypatch):
         assert np.frombuffer(own.encode_batch([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_keeps_words_across_batches(monkeypatch):
+    """Words of one batch are not encoded anew in the next, unless there are far more than the cache's entries."""
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 100)
+    own, asked = bpe.PairIndexBpe(public_tokenizers.path("byte_bpe_50k.json")), []
+    encode_words = own.encode_words
+    monkeypatch.setattr(own, "encode_words", lambda words: asked.extend(words) or encode_words(words))
+    text = "head " + " ".join("".join(chr(97 + int(x)) for x in str(k)) for k in range(300))
+    first = own.encode_batch([text])
+    asked.clear()
+    assert own.encode_batch([text]) == first and asked == [b"head"]
+    for k in range(20):
+        own.encode_batch([" ".join(f"w{k}x{i}" for i in range(100))])
+    assert len(own.spaced) + len(own.pieces) < 1000
+
+
 def test_round_trip_query(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     values, library = data.texts(2, 10), Tokenizer.from_file(path)
