@@ -13,6 +13,10 @@ by their least id.
 
 from __future__ import annotations
 
+from bisect import insort
+from itertools import accumulate
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,10 +36,14 @@ EQUAL, LEAST_EQUAL = 28, 51
 MORE = 12
 #: The least words of a passage, the least similarity, and the longest gap (in words) bridged within it.
 LEAST_WORDS, LEAST_LIKENESS, GAP = 40, 0.8, 2
+#: The least shingles that two passages of LEAST_WORDS have in common.
+LEAST_SAME = ceil(2 * (LEAST_WORDS - SHINGLE + 1) * LEAST_LIKENESS / (1 + LEAST_LIKENESS) - 1e-9)
 #: Words that are compared beyond the outermost keys of a chain: a paragraph and a gap at least.
 REACH = 60
 #: How many words an alignment may leave a chain's distance by, and how far apart distances of one chain are at most.
 BAND, LANE = 20, 16
+#: Words of pairs that are compared at once; a longer pair is compared alone.
+PAIR_WORDS = 1 << 15
 
 
 def minima(x: np.ndarray, of: np.ndarray, window: int) -> np.ndarray:
@@ -167,64 +175,91 @@ def _likeness(x: np.ndarray, y: np.ndarray) -> float:
     return same / max(1, len(a) + len(b) - same)
 
 
-def common_passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Runs (start, stop) in which two aligned sequences of word hashes are like enough and long enough."""
-    n = min(len(x), len(y))
-    x, y = x[:n], y[:n]
-    equal = x == y
-    # A gap of GAP words follows SHINGLE equal ones at least, so that most words of a passage are equal.
-    if (GAP + SHINGLE) * int(np.count_nonzero(equal)) < SHINGLE * LEAST_WORDS:
-        return []
-    bridged = equal.copy()
+def _joined(parts: list[np.ndarray], begin: np.ndarray, size: int, fill: int) -> np.ndarray:
+    """Rows of 64-bit hashes in one array, each from its place in ``begin`` on, with ``fill`` between them."""
+    out = np.full(size, fill, np.uint64)
+    at = np.repeat(begin, [len(p) for p in parts])
+    out[at + np.arange(len(at)) - np.repeat(np.cumsum([0, *(len(p) for p in parts[:-1])]), [len(p) for p in parts])] = np.concatenate(parts)
+    return out
+
+
+def common_passages(xs: list[np.ndarray], ys: list[np.ndarray]) -> list[list[tuple[int, int]]]:
+    """For each two aligned sequences of word hashes, the runs (start, stop) in which they are like enough and long enough."""
+    many = np.array([min(len(x), len(y)) for x, y in zip(xs, ys)])
+    begin = np.cumsum(many + 1) - many - 1
+    # One unequal place ends each row, so that no run goes on in the next one.
+    ends = begin + many
+    size = int(ends[-1]) + 1
+    equal = _joined([x[:n] for x, n in zip(xs, many)], begin, size, 0) == _joined([y[:n] for y, n in zip(ys, many)], begin, size, 1)
+    equal[ends] = False
+    before = np.concatenate([[0], np.cumsum(equal)])  # equal places before a place
+    # A gap of GAP words follows SHINGLE equal ones at least, as many follow it.
     starts, stops = _runs(~equal)
-    for a, b in zip(starts.tolist(), stops.tolist()):
-        if b - a <= GAP and a >= SHINGLE and b + SHINGLE <= n and equal[a - SHINGLE : a].all() and equal[b : b + SHINGLE].all():
-            bridged[a:b] = True
-    out = []
-    for a, b in zip(*(e.tolist() for e in _runs(bridged))):
-        if b - a < LEAST_WORDS:
-            continue
-        if equal[a:b].all() or _likeness(x[a:b], y[a:b]) >= LEAST_LIKENESS:
-            out.append((a, b))
+    short = (stops - starts <= GAP) & (starts >= SHINGLE) & (stops + SHINGLE <= size)
+    starts, stops = starts[short], stops[short]
+    rows = np.searchsorted(begin, starts, side="right") - 1
+    short = (stops <= ends[rows]) & (before[starts] - before[starts - SHINGLE] == SHINGLE) & (before[stops + SHINGLE] - before[stops] == SHINGLE)
+    bridged = equal.copy()
+    for gap in range(GAP):
+        wide = short & (stops - starts > gap)
+        bridged[starts[wide] + gap] = True
+    starts, stops = _runs(bridged)
+    long_ = stops - starts >= LEAST_WORDS
+    starts, stops = starts[long_], stops[long_]
+    rows = np.searchsorted(begin, starts, side="right") - 1
+    whole = before[stops] - before[starts] == stops - starts
+    out: list[list[tuple[int, int]]] = [[] for _ in xs]
+    for k, at, a, b, same in zip(rows.tolist(), begin[rows].tolist(), starts.tolist(), stops.tolist(), whole.tolist()):
+        if same or _likeness(xs[k][a - at : b - at], ys[k][a - at : b - at]) >= LEAST_LIKENESS:
+            out[k].append((a - at, b - at))
         else:
-            out += [(a + c, a + d) for c, d in zip(*(e.tolist() for e in _runs(equal[a:b]))) if d - c >= LEAST_WORDS]
+            out[k] += [(a - at + c, a - at + d) for c, d in zip(*(e.tolist() for e in _runs(equal[a:b]))) if d - c >= LEAST_WORDS]
     return out
 
 
-def _segments(x: np.ndarray, y: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, stop, distance) of equal runs of SHINGLE words or more within BAND: the chain, in order in x and y, with the most words.
+def _segments(owns: list[np.ndarray], others: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+    """For each two sequences of shingles (start, stop, distance), in words, of their equal runs of distances within BAND, in order.
 
-    ``own`` and ``other`` are the shingles of x and y; equal ones are found by sorting, not diagonal by diagonal.
+    They are found diagonal by diagonal, for all rows at once: memory is bounded however often a shingle is repeated.
     """
-    order = np.argsort(other, kind="stable")
-    ranked = other[order]
-    low, high = np.searchsorted(ranked, own), np.searchsorted(ranked, own, side="right")
-    many = high - low
-    i = np.repeat(np.arange(len(own)), many)
-    d = order[np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(i))] - i
-    near = np.abs(d) <= BAND
-    i, d = i[near], d[near]
-    if not len(i):
-        return []
-    line = np.lexsort((i, d))
-    i, d = i[line], d[line]
-    cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(d) != 0)) + 1
-    first, last = i[np.append(0, cut)], i[np.append(cut, len(i)) - 1]
-    found = sorted(zip(first.tolist(), (last + SHINGLE).tolist(), d[np.append(0, cut)].tolist()))
-    most: list[int] = []
+    wide = np.array([max(len(x), len(y)) + BAND for x, y in zip(owns, others)])
+    begin = BAND + np.cumsum(wide) - wide
+    size = int(begin[-1] + wide[-1]) + BAND
+    own, other = _joined(owns, begin, size, 1), _joined(others, begin, size, 2)
+    line, runs = own[BAND : size - BAND], []
+    for d in range(-BAND, BAND + 1):
+        starts, stops = _runs(line == other[BAND + d : size - BAND + d])
+        runs.append((starts, stops + SHINGLE - 1, np.full(len(starts), d)))
+    first, last, d = (np.concatenate(c) for c in zip(*runs))
+    order = np.lexsort((d, last, first))
+    d, first, last = d[order], first[order] + BAND, last[order] + BAND
+    rows = np.searchsorted(begin, first, side="right") - 1
+    found = list(zip((first - begin[rows]).tolist(), (last - begin[rows]).tolist(), d.tolist()))
+    cuts = np.searchsorted(rows, np.arange(len(owns) + 1)).tolist()
+    return [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _chain(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of segments in order, the chain with the most words that is in order in both sequences."""
+    if len(found) < 2:
+        return found
     best: list[tuple[int, int]] = []  # words of the best chain that ends here, the one before it
+    ranked: list[tuple[int, int]] = []  # the same chains, most words first, of equal ones the last: (-words, -segment)
     for k, (a, b, e) in enumerate(found):
-        score, before = b - a, -1
-        for j in range(k - 1, -1, -1):
-            if most[j] + b - a <= score:
+        size = score = b - a
+        before = -1
+        for low, j in ranked:
+            if size - low < score or size - low == score and before < 0:
                 break
-            p, q, f = found[j]
-            # Of runs that overlap in x or y, as at a repeated word, the later one is shortened.
-            over = max(0, q - a, q + f - a - e)
-            if p < a and p + f < a + e and b - a - over > 0 and best[j][0] + b - a - over > score:
-                score, before = best[j][0] + b - a - over, j
+            p, q, f = found[-j]
+            if p < a and p + f < a + e:
+                # Of runs that overlap in x or y, as at a repeated word, the later one is shortened.
+                over = max(0, q - a, q + f - a - e)
+                value = size - low - over
+                if over < size and (value > score or value == score and -j > before >= 0):
+                    score, before = value, -j
         best.append((score, before))
-        most.append(max(score, most[-1] if most else 0))
+        insort(ranked, (-score, -k))
     chain, k = [], max(range(len(found)), key=lambda j: best[j][0])
     while k >= 0:
         chain.append(found[k])
@@ -232,25 +267,29 @@ def _segments(x: np.ndarray, y: np.ndarray, own: np.ndarray, other: np.ndarray)
     return chain[::-1]
 
 
-def aligned_passages(x: np.ndarray, y: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int]]:
+def aligned_passages(segments: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Spans (start, stop, start in y, stop in y) that are like enough and long enough, with words inserted, deleted or replaced.
 
     Likeness is that of their aligned shingles: those equal in order, over those of either span.
     """
-    chain = _segments(x, y, own, other)
-    many = np.cumsum([0, *(b - a - SHINGLE + 1 for a, b, _ in chain)]).tolist()
+    if sum(b - a - SHINGLE + 1 for a, b, _ in segments) < LEAST_SAME:
+        return []
+    chain = _chain(segments)
+    many = list(accumulate((b - a - SHINGLE + 1 for a, b, _ in chain), initial=0))
     out = []
 
     def take(low: int, high: int) -> None:
         longest = (0, 0, 0)
         for i in range(low, high):
+            if many[high] - many[i] < LEAST_SAME:
+                break
             a, _, d = chain[i]
             for j in range(high - 1, i - 1, -1):
                 _, b, e = chain[j]
-                if b - a <= longest[0]:
-                    break
                 one, two, same = b - a, b + e - a - d, many[j + 1] - many[i]
-                if min(one, two) >= LEAST_WORDS and same >= LEAST_LIKENESS * (one + two - 2 * SHINGLE + 2 - same) - 1e-9:
+                if one <= longest[0] or same < LEAST_SAME:
+                    break
+                if one >= LEAST_WORDS and two >= LEAST_WORDS and same >= LEAST_LIKENESS * (one + two - 2 * SHINGLE + 2 - same) - 1e-9:
                     longest = (one, i, j)
                     break
         if longest[0]:
@@ -264,23 +303,45 @@ def aligned_passages(x: np.ndarray, y: np.ndarray, own: np.ndarray, other: np.nd
     return out
 
 
+def _rows_of_shingles(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of all rows one after the other, where each row begins); no row has less than SHINGLE words."""
+    sizes = [len(p) for p in parts]
+    keys, _, _ = shingles(np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes), SHINGLE)
+    return keys, np.cumsum([0, *(n - SHINGLE + 1 for n in sizes)])
+
+
+def shared_in_pairs(xs: list[np.ndarray], ys: list[np.ndarray], lags: list[int]) -> list[list[tuple[int, int, int, int]]]:
+    """For each pair, the passages (start, stop, start in y, stop in y) of two sequences of word hashes of which y[0] stands ``lag`` words
+    after x[0]'s place. All pairs are compared at once, so hand over some ten thousand words."""
+    skip, drop = [max(0, n) for n in lags], [max(0, -n) for n in lags]
+    xs, ys = [x[n:] for x, n in zip(xs, skip)], [y[n:] for y, n in zip(ys, drop)]
+    found = [[(a, b, a, b) for a, b in f] for f in common_passages(xs, ys)]
+    open_ = [k for k, (x, y) in enumerate(zip(xs, ys)) if min(len(x), len(y)) >= LEAST_WORDS and (x.size != y.size or found[k] != [(0, len(x), 0, len(y))])]
+    if open_:
+        own, begin = _rows_of_shingles([xs[k] for k in open_])
+        other, there = _rows_of_shingles([ys[k] for k in open_])
+        salt = mix(np.arange(1, len(open_) + 1, dtype=np.uint64))  # so that only shingles of one pair are equal
+        ranked = np.sort(other ^ np.repeat(salt, np.diff(there)))
+        asked = own ^ np.repeat(salt, np.diff(begin))
+        both = ranked[np.minimum(np.searchsorted(ranked, asked), len(ranked) - 1)] == asked
+        enough = np.add.reduceat(both, begin[:-1], dtype=np.int64) >= LEAST_LIKENESS * (LEAST_WORDS - SHINGLE + 1)
+        for k, at, stop in zip(open_, begin[:-1].tolist(), begin[1:].tolist()):
+            for a, b, _, _ in found[k]:
+                both[at + max(0, a - SHINGLE + 1) : min(at + b, stop)] = False
+        # Common shingles outside of what was found at one distance make a passage or lengthen one; two passages may be one.
+        enough &= np.logical_or.reduceat(both, begin[:-1]) | np.array([len(found[k]) > 1 for k in open_])
+        rows = np.flatnonzero(enough).tolist()
+        if rows:
+            of = _segments([own[begin[r] : begin[r + 1]] for r in rows], [other[there[r] : there[r + 1]] for r in rows])
+            for r, segments in zip(rows, of):
+                k, more = open_[r], aligned_passages(segments)
+                found[k] = [f for f in found[k] if not any(a <= f[0] and f[1] <= b for a, b, _, _ in more)] + more
+    return [[(m + a, m + b, n + c, n + d) for a, b, c, d in f] for f, m, n in zip(found, skip, drop)]
+
+
 def shared_passages(x: np.ndarray, y: np.ndarray, lag: int = 0) -> list[tuple[int, int, int, int]]:
     """Passages (start, stop, start in y, stop in y) of two sequences of word hashes of which y[0] stands ``lag`` words after x[0]'s place."""
-    skip, drop = max(0, lag), max(0, -lag)
-    x, y = x[skip:], y[drop:]
-    found = [(a, b, a, b) for a, b in common_passages(x, y)]
-    if min(len(x), len(y)) >= LEAST_WORDS and (x.size != y.size or found != [(0, len(x), 0, len(y))]):
-        row = np.zeros(max(len(x), len(y)), np.int64)
-        own, other = shingles(x, row[: len(x)], SHINGLE)[0], shingles(y, row[: len(y)], SHINGLE)[0]
-        both = np.isin(own, other)
-        enough = np.count_nonzero(both) >= LEAST_LIKENESS * (LEAST_WORDS - SHINGLE + 1)
-        for a, b, _, _ in found:
-            both[max(0, a - SHINGLE + 1) : b] = False
-        # Common shingles outside of what was found at one distance make a passage or lengthen one; two passages may be one.
-        if enough and (both.any() or len(found) > 1):
-            more = aligned_passages(x, y, own, other)
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _, _ in more)] + more
-    return [(skip + a, skip + b, drop + c, drop + d) for a, b, c, d in found]
+    return shared_in_pairs([x], [y], [lag])[0]
 
 
 def _confirmed(chains: DataFrame) -> DataFrame:
@@ -298,6 +359,16 @@ def _confirmed(chains: DataFrame) -> DataFrame:
             own, other = (np.maximum(0, batch.column(c).to_numpy()) for c in (6, 7))
             ahead = other + batch.column(8).to_numpy() - own
             runs, twins = batch.column(9).to_pylist(), batch.column(10).to_pylist()
+            todo: list[tuple[int, np.ndarray, np.ndarray]] = []
+            held = 0
+
+            def compare():
+                for (k, _, _), found in zip(todo, shared_in_pairs([x for _, x, _ in todo], [y for _, _, y in todo], [int(ahead[k]) for k, _, _ in todo])):
+                    for a, b, c, d in found:
+                        rows.append(k)
+                        spans.append((int(own[k]) + a, int(own[k]) + b, int(other[k]) + c, int(other[k]) + d, None))
+                todo.clear()
+
             for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
                 start, there = int(own[k]), int(other[k])
                 if runs[k]:
@@ -306,9 +377,13 @@ def _confirmed(chains: DataFrame) -> DataFrame:
                     spans += [(start + first, None, None, None, key - (key >> 63 << 64)) for first, key in longer]
                 x, y = (np.frombuffer(c.as_buffer(), np.uint64) for c in (x, y))
                 if min(len(x), len(y)) >= LEAST_WORDS and not twins[k]:
-                    for a, b, c, d in shared_passages(x, y, int(ahead[k])):
-                        rows.append(k)
-                        spans.append((start + a, start + b, there + c, there + d, None))
+                    if todo and held + len(x) + len(y) > PAIR_WORDS:
+                        compare()
+                        held = 0
+                    todo.append((k, x, y))
+                    held += len(x) + len(y)
+            if todo:
+                compare()
             if rows:
                 at = pa.array(rows)
                 first, stop, there, end, key = (pa.array(c, pa.int64()) for c in zip(*spans))

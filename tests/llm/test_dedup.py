@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ import pytest
 from seriate.llm import near_duplicates as nd
 from seriate.llm import suffix_dedup as sd
 from seriate.llm.components import components
-from seriate.llm.passages import cut, remove_passages, shared_passages
+from seriate.llm.passages import cut, remove_passages, shared_in_pairs, shared_passages
 
 from . import brute, data
 
@@ -167,5 +168,34 @@ def test_shared_passages_are_like_enough():
             assert covered[6:].all() and not covered[:6].any()
 
 
+def test_pairs_compared_at_once_are_those_compared_singly():
+    rng = np.random.default_rng(5)
+    pairs = []
+    for k in range(120):
+        x = rng.integers(1, 1 << 60 if k % 3 else 60, int(rng.integers(0, 300))).astype(np.uint64)
+        y = x.copy()
+        for _ in range(int(rng.integers(0, 6))):
+            at = int(rng.integers(0, len(y) + 1))
+            y = np.concatenate([y[:at], rng.integers(1, 1 << 60, int(rng.integers(0, 4))).astype(np.uint64), y[at + int(rng.integers(0, 4)) :]])
+        pairs.append((x, y, int(rng.integers(-9, 9))))
+    at_once = shared_in_pairs(*(list(c) for c in zip(*pairs)))
+    assert at_once == [shared_passages(*p) for p in pairs] and any(at_once) and not all(at_once)
+
+
+def test_repetitive_passages_are_compared_in_bounded_memory():
+    x = np.tile(np.arange(1, 4, dtype=np.uint64), 1000)
+    y = np.delete(x, [700, 1900])
+    shared_passages(x[:300], x[:299])
+    tracemalloc.start()
+    found = shared_passages(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    covered = np.zeros(len(x), bool)
+    for a, b, _, _ in found:
+        covered[a:b] = True
+    assert covered.sum() >= len(x) - 5
+    assert peak < 20e6
+
+
 def test_cut_keeps_other_bytes():
     assert cut("a  b\nc d", [{"lost": True, "first": 1, "stop": 3}])[4] == "a  d"
