@@ -122,6 +122,7 @@ def longer_runs(x: bytes, y: bytes, places: list[tuple[int, int]]) -> list[tuple
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
+    """(id, th, at, key, first) of every anchor; ``first`` tells the first place of a key in its text."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -130,9 +131,11 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
                 row, at, key = anchors(data, offsets)
                 if len(row):
                     rows = pa.array(row + a)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(key.view(np.int64))], ["id", "th", "at", "key"])
+                    first = np.zeros(len(row), bool)
+                    first[np.unique(key ^ mix(row.astype(np.uint64)), return_index=True)[1]] = True
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(first)], ["id", "th", "at", "key", "first"])
 
-    return texts.select("id", "th", "text").mapInArrow(run, f"id {kind}, th int, at int, key long")
+    return texts.select("id", "th", "text").mapInArrow(run, f"id {kind}, th int, at int, key long, first boolean")
 
 
 def _stretches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -394,15 +397,28 @@ def _confirmed(chains: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, th int, first long, stop long, other {kind}, other_th int, other_first long, other_stop long, key long")
 
 
-def _compared(texts: DataFrame, found: DataFrame, few: bool) -> DataFrame:
+def _heads(found: DataFrame, unique: bool) -> DataFrame:
+    """(key, n, head) of the keys of several occurrences: their number and the first one (id, th, at).
+
+    Where no two texts have one id (``unique``), buffers are numbers, so that Spark aggregates by hash; else it sorts all occurrences.
+    """
+    if not unique:
+        return found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("head")).where("n > 1")
+    place = F.shiftleft(F.col("th").cast("long"), 32) + F.col("at")
+    heads = found.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min_by(place, F.when(F.col("first"), F.col("id"))).alias("place")).where("n > 1")
+    th, at = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0x7FFFFFFF).cast("int")
+    return heads.select("key", "n", F.struct("id", th.alias("th"), at.alias("at")).alias("head"))
+
+
+def _compared(texts: DataFrame, found: DataFrame, few: bool, unique: bool = False) -> DataFrame:
     """What comes of comparing the occurrences (id, th, at, key) of each key with the first one; see _confirmed.
 
     With ``few``, occurrences are longer runs, which few texts hold: no other text is shuffled. Else they are a staged table, which is deleted
     as soon as chains are written.
     """
-    heads = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("head")).where("n > 1")
-    heads = staged(heads, "heads")
-    own = join_heavy(found, heads, "key", "n").select("id", "th", "at", (F.col("key").bitwiseAND(1) == 1).alias("run"), F.col("head.id").alias("other"), F.col("head.th").alias("other_th"), F.col("head.at").alias("other_at"))
+    heads = staged(_heads(found, unique), "heads")
+    # One row for each key is the smaller side, and the other one needs no sorting.
+    own = join_heavy(found, heads.hint("shuffle_hash"), "key", "n").select("id", "th", "at", (F.col("key").bitwiseAND(1) == 1).alias("run"), F.col("head.id").alias("other"), F.col("head.th").alias("other_th"), F.col("head.at").alias("other_at"))
     twin = "id = other and th = other_th"
     # A run's other places in its first document may be longer runs; passages within a document stay.
     own = own.where(f"not ({twin})" if few else f"not ({twin}) or run and at <> other_at")
@@ -426,15 +442,15 @@ def _compared(texts: DataFrame, found: DataFrame, few: bool) -> DataFrame:
     return out
 
 
-def repeated_passages(texts: DataFrame) -> DataFrame:
+def repeated_passages(texts: DataFrame, unique: bool = False) -> DataFrame:
     """(id, th, first, stop, other, other_th, other_first, other_stop): passages, in words, that a document shares with the first that has a key.
 
     The first document with an equal run may hold it in other surroundings. Such runs with more words on either side are keys of a second
     round: documents that share LEAST_EQUAL words share one of these keys, or both share it with the first document; and what shares one
-    shares EQUAL + MORE words, which are a passage. So no link by as many equal words is lost.
+    shares EQUAL + MORE words, which are a passage. So no link by as many equal words is lost. ``unique``: no two texts have one id.
     """
     found = staged(_anchor_rows(texts.where("id is not null")), "anchors")
-    first = _compared(texts, found, few=False)
+    first = _compared(texts, found, few=False, unique=unique)
     passages = ["id", "th", "first", "stop", "other", "other_th", "other_first", "other_stop"]
     out = first.where("key is null").select(*passages)
     longer = first.where("key is not null").select("id", "th", F.col("first").cast("int").alias("at"), "key")
@@ -454,7 +470,8 @@ def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     extra = [f"_kept{k}" for k in range(len(keep))]
     rows_in = texts_of(df, df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"), *(df[c].alias(n) for c, n in zip(keep, extra))).withColumn("th", F.hash("text"))
     texts = rows_in.select("id", "th", "text")
-    found = staged(repeated_passages(texts.dropDuplicates(["id", "th"]) if _repeats(texts) else texts), "passages")
+    repeats = _repeats(texts)
+    found = staged(repeated_passages(texts.dropDuplicates(["id", "th"]) if repeats else texts, unique=not repeats), "passages")
     linked = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     lost = found.select("id", "th", F.lit(True).alias("lost"), "first", "stop")
     shared = found.select(F.col("other").alias("id"), F.col("other_th").alias("th"), F.lit(False).alias("lost"), F.col("other_first").alias("first"), F.col("other_stop").alias("stop")).distinct()
@@ -479,7 +496,7 @@ def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _repeats(texts: DataFrame) -> bool:
-    return not texts.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return not texts.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def cut(text: str, spans: list[dict] | None) -> tuple[int, int, int, int, str]:

@@ -7,7 +7,7 @@ import pytest
 from seriate.llm import near_duplicates as nd
 from seriate.llm import suffix_dedup as sd
 from seriate.llm.components import components
-from seriate.llm.passages import cut, remove_passages, shared_in_pairs, shared_passages
+from seriate.llm.passages import _heads, cut, remove_passages, shared_in_pairs, shared_passages
 
 from . import brute, data
 
@@ -197,5 +197,14 @@ def test_repetitive_passages_are_compared_in_bounded_memory():
     assert peak < 20e6
 
 
+def test_heads_by_hash_are_the_first_occurrences(spark):
+    rng = random.Random(6)
+    rows = sorted({(k, 7 * k - 50, rng.randrange(1 << 20), rng.randrange(40)) for k in range(20) for _ in range(9)})
+    found = spark.createDataFrame([(*r, not any(o[0] == r[0] and o[3] == r[3] and o[2] < r[2] for o in rows)) for r in rows], "id long, th int, at int, key long, first boolean").repartition(5)
+    want, got = _heads(found, False), _heads(found, True)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 20
+    assert "SortAggregate" not in got._jdf.queryExecution().toString()
+
+
 def test_cut_keeps_other_bytes():
     assert cut("a  b\nc d", [{"lost": True, "first": 1, "stop": 3}])[4] == "a  d"
