@@ -8,6 +8,9 @@ and by blind tries below it. Two windows are equal if both their halves have the
 
 Keys with very many different segments are not gathered. Their windows are dealt anew by where the place stands in them, in ever
 narrower ranges, and each range is keyed by the bytes that all its windows have; at last a range is a single window.
+
+What texts share with other texts is found first, at a smaller width. A text can repeat a string of the wanted length only where windows of
+the smaller one, all with keys that occur twice, stand side by side for that long; only such texts are looked at again.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, staged, text_slices, texts_of
+from .common import discard, mix, rows_with, staged, text_slices, texts_of
 
 #: Bytes whose hash decides a window's place; bytes that quicksort looks at before tries take over.
 GRAM, SHALLOW = 32, 24
@@ -134,10 +137,11 @@ def sorted_prefixes(strings: list[bytes]) -> tuple[list[int], list[int]]:
     return order, [0, *(common_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:]))]
 
 
-def repeated_windows(segments: list[bytes], offsets: list[int], weights: list[int], width: int) -> list[np.ndarray]:
+def repeated_windows(segments: list[bytes], offsets: list[int], weights: list[int], width: int, owners: list[int] | None = None) -> list[np.ndarray]:
     """For different segments of one key, which windows (by their start) occur twice or more.
 
-    ``offsets`` are the places of the key in the segments, ``weights`` how often each segment occurs.
+    ``offsets`` are the places of the key in the segments, ``weights`` how often each segment occurs. With ``owners``, segments of weight 1
+    and one owner do not repeat each other.
     """
     m = len(segments)
     runs = [len(s) - width + 1 for s in segments]
@@ -156,14 +160,15 @@ def repeated_windows(segments: list[bytes], offsets: list[int], weights: list[in
                     reach[side, order[i], order[j]] = reach[side, order[j], order[i]] = low
         for i in range(m):
             for j in range(m):
-                if i != j:
+                if i != j and (owners is None or owners[i] != owners[j] or weights[j] > 1):
                     first, stop = offsets[i] - int(reach[1, i, j]), offsets[i] - width + int(reach[0, i, j]) + 1
                     if first < stop:
                         flags[i][max(0, first) : max(0, stop)] = True
         return flags
     place = np.array(offsets)
     low, high = place - np.array(runs) + 1, place
-    many = np.array(weights)
+    own_by = np.arange(m) if owners is None else np.unique(owners, return_inverse=True)[1]
+    alone = np.where(np.array(weights) > 1, m, own_by)  # m: more owners than one
     right, left, up, down = map(np.array, (right, left, up, down))
     for d in range(int(low.min()), int(high.max()) + 1):
         own = np.flatnonzero((low <= d) & (d <= high))
@@ -173,8 +178,11 @@ def repeated_windows(segments: list[bytes], offsets: list[int], weights: list[in
         one, two = np.empty(m, np.int64), np.empty(m, np.int64)
         one[right], two[left] = np.cumsum(up < width - d), np.cumsum(down < d)
         both = one[own] * (m + 1) + two[own]
-        _, which, times = np.unique(both, return_inverse=True, return_counts=True)
-        for k in own[times[which] > 1].tolist():
+        _, which = np.unique(both, return_inverse=True)
+        least, most = np.full(len(own), m), np.full(len(own), -1)
+        np.minimum.at(least, which, alone[own])
+        np.maximum.at(most, which, alone[own])
+        for k in own[(least != most)[which]].tolist():
             flags[k][place[k] - d] = True
     return flags
 
@@ -185,6 +193,16 @@ def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
 
 
+def merged(first: np.ndarray, stop: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and stops of the union of spans; spans that touch are one."""
+    if not len(first):
+        return [], []
+    order = np.argsort(first, kind="stable")
+    first, stop = first[order], np.maximum.accumulate(stop[order])
+    cut = np.flatnonzero(first[1:] > stop[:-1])
+    return first[np.append(0, cut + 1)].tolist(), stop[np.append(cut, len(stop) - 1)].tolist()
+
+
 # -- segments ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -249,12 +267,13 @@ def segments(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _contents(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(key, content, at, n, m, bytes) of the wanted segments (id, th, key, content, at, n, m), each read from one text that has it."""
-    by_text = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("key", "content", "at", "n", "m")).alias("own"))
+    """(key, content, at, n, m, owner, bytes) of the wanted segments (those and id, th), each read from one text that has it."""
+    by_text = staged(wanted.groupBy("id", "th").agg(F.collect_list(F.struct("key", "content", "at", "n", "m", "owner")).alias("own")), "segment-texts")
+    texts = rows_with(texts, ["id", "th"], by_text)
 
     def run(batches):
         for batch in batches:
-            names = ["key", "content", "at", "n", "m"]
+            names = ["key", "content", "at", "n", "m", "owner"]
             for k in range(batch.num_rows):
                 text, own = (batch.column(0)[k].as_py() or "").encode(), batch.column(1)[k].values
                 at = own.field("at").to_numpy()
@@ -264,7 +283,9 @@ def _contents(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     same = texts["id"].eqNullSafe(by_text["id"]) & (texts["th"] == by_text["th"])
     joined = texts.join(by_text, same).select("text", "own")
-    return joined.mapInArrow(run, "key long, content long, at long, n long, m long, bytes binary")
+    out = staged(joined.mapInArrow(run, "key long, content long, at long, n long, m long, owner long, bytes binary"), "segment-bytes")
+    discard(by_text)
+    return out
 
 
 def _sorted_groups(rows: DataFrame, width: int) -> DataFrame:
@@ -272,7 +293,7 @@ def _sorted_groups(rows: DataFrame, width: int) -> DataFrame:
 
     def emit(group: dict) -> list[tuple]:
         key, own = group["key"], list(group["own"].items())
-        flags = repeated_windows([x[1][2] for x in own], [x[1][1] for x in own], [x[1][0] for x in own], width)
+        flags = repeated_windows([x[1][2] for x in own], [x[1][1] for x in own], [x[1][0] for x in own], width, [x[1][3] for x in own])
         return [(key, content, int(a), int(b)) for (content, _), f in zip(own, flags) for a, b in zip(*spans(f))]
 
     def run(batches):
@@ -280,12 +301,12 @@ def _sorted_groups(rows: DataFrame, width: int) -> DataFrame:
         found: list[tuple] = []
         for batch in batches:
             at = batch.column(2).to_numpy()
-            for key, content, offset, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (at & 4095).tolist(), batch.column(3).to_pylist(), batch.column(4)):
+            for key, content, offset, n, data, owner in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (at & 4095).tolist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist()):
                 if group.get("key") != key:
                     if group:
                         found += emit(group)
                     group = {"key": key, "own": {}}
-                group["own"][content] = (n, offset, data.as_py())
+                group["own"][content] = (n, offset, data.as_py(), owner)
             if len(found) > 20_000:
                 yield _spans_batch(found)
                 found = []
@@ -294,7 +315,7 @@ def _sorted_groups(rows: DataFrame, width: int) -> DataFrame:
         if found:
             yield _spans_batch(found)
 
-    sorted_ = rows.select("key", "content", "at", "n", "bytes").repartition("key").sortWithinPartitions("key")
+    sorted_ = rows.select("key", "content", "at", "n", "bytes", "owner").repartition("key").sortWithinPartitions("key")
     return sorted_.mapInArrow(run, "key long, content long, first long, stop long")
 
 
@@ -312,7 +333,7 @@ def _split(rows: DataFrame, width: int, step: int) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for k in range(batch.num_rows):
-                root_key, root_content, base, key, off, n, data = (batch.column(c)[k].as_py() for c in range(7))
+                root_key, root_content, base, key, off, n, owner, data = (batch.column(c)[k].as_py() for c in range(8))
                 low, high = off - (len(data) - width), off  # where the place stands in the windows
                 for part in range(low // step, high // step + 1):
                     d1, d2 = part * step, min(part * step + step, width) - 1
@@ -320,23 +341,28 @@ def _split(rows: DataFrame, width: int, step: int) -> DataFrame:
                     own, core = data[first : stop - 1 + width], data[off - d1 : off + width - d2] if d1 <= off else data[:0]
                     digest = hashlib.blake2b(core, digest_size=8, person=f"{key & 0xFFFFFFFF:x}.{part:x}"[:16].encode()).digest()
                     content = hashlib.blake2b(own, digest_size=8).digest()
-                    out.append((root_key, root_content, base + first, int.from_bytes(digest, "little", signed=True), int.from_bytes(content, "little", signed=True), off - first, n, own))
+                    out.append((root_key, root_content, base + first, int.from_bytes(digest, "little", signed=True), int.from_bytes(content, "little", signed=True), off - first, n, owner, own))
             if out:
-                names = ["root_key", "root_content", "base", "key", "content", "at", "n", "bytes"]
+                names = ["root_key", "root_content", "base", "key", "content", "at", "n", "owner", "bytes"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "bytes" else pa.int64()) for c, name in zip(zip(*out), names)], names)
 
-    return rows.select("root_key", "root_content", "base", "key", "at", "n", "bytes").mapInArrow(run, "root_key long, root_content long, base long, key long, content long, at long, n long, bytes binary")
+    return rows.select("root_key", "root_content", "base", "key", "at", "n", "owner", "bytes").mapInArrow(run, "root_key long, root_content long, base long, key long, content long, at long, n long, owner long, bytes binary")
+
+
+def _more() -> Column:
+    """2 if a group of segments has several owners or one of weight above 1, else 1."""
+    return F.when((F.max("n") > 1) | (F.min("owner") != F.max("owner")), 2).otherwise(1).cast("long")
 
 
 def _large_groups(rows: DataFrame, width: int, most_segments: int) -> DataFrame:
     """The same for keys with too many segments to gather, by parts of them."""
-    now = rows.dropDuplicates(["key", "content"]).select(F.col("key").alias("root_key"), F.col("content").alias("root_content"), F.lit(0).cast("long").alias("base"), "key", F.col("at").bitwiseAND(F.lit(4095)).alias("at"), "n", "bytes")
+    now = rows.dropDuplicates(["key", "content"]).select(F.col("key").alias("root_key"), F.col("content").alias("root_content"), F.lit(0).cast("long").alias("base"), "key", F.col("at").bitwiseAND(F.lit(4095)).alias("at"), "n", "owner", "bytes")
     out = None
     for step in RANGES:
         parts = staged(_split(now, width, step), "parts")
-        classes = parts.groupBy("key", "content").agg(F.sum("n").alias("n"), F.first("at").alias("at"), F.first("bytes").alias("bytes"))
+        classes = parts.groupBy("key", "content").agg(_more().alias("n"), F.min("owner").alias("owner"), F.first("at").alias("at"), F.first("bytes").alias("bytes"))
         classes = staged(classes, "part-classes")
-        sizes = classes.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("times")).where("times > 1").select("key", "m")
+        sizes = classes.groupBy("key").agg(F.count("*").alias("m"), _more().alias("n")).where("n > 1").select("key", "m")
         classes = staged(classes.join(sizes, "key"), "part-sizes")
         runs = _sorted_groups(classes.where(F.col("m") <= most_segments), width)
         found = parts.join(runs, ["key", "content"]).select(F.col("root_key").alias("key"), F.col("root_content").alias("content"), (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("stop")).alias("stop"))
@@ -348,36 +374,84 @@ def _large_groups(rows: DataFrame, width: int, most_segments: int) -> DataFrame:
     return out
 
 
-def repeated_spans(texts: DataFrame, width: int, most_segments: int = MOST_SEGMENTS) -> DataFrame:
-    """(id, th, first, stop): byte spans of texts (id, th, text) that strings occurring twice or more cover, not yet merged."""
+def keyed_segments(texts: DataFrame, width: int) -> DataFrame:
+    """Segments whose key occurs twice or more; ``several``: with different contents, ``apart``: in different texts."""
     found = staged(segments(texts, width), "segments")
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
-    keyed = staged(found.join(keys.select("key", (F.col("lo") != F.col("hi")).alias("several")), "key"), "keyed")
+    owner = F.xxhash64("id", "th")
+    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.min(owner).alias("one"), F.max(owner).alias("other")).where("n > 1")
+    keyed = staged(found.join(keys.select("key", (F.col("lo") != F.col("hi")).alias("several"), (F.col("one") != F.col("other")).alias("apart")), "key"), "keyed")
+    discard(found)
+    return keyed
+
+
+def repeated_spans(texts: DataFrame, keyed: DataFrame, width: int, most_segments: int = MOST_SEGMENTS, across: bool = False) -> DataFrame:
+    """(id, th, first, stop): byte spans of texts (id, th, text) that strings occurring twice or more cover, not yet merged.
+
+    With ``across``, strings that occur in two texts or more; rows of equal id and text count as one text.
+    """
     start, windows = F.shiftright("at", 24), F.shiftright("at", 12).bitwiseAND(F.lit(4095))
-    whole = keyed.where("not several").select("id", "th", start.alias("first"), (start + windows - 1 + width).alias("stop"))
-    several = keyed.where("several")
-    classes = several.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("one"))
+    wanted = keyed.where("apart") if across else keyed
+    whole = wanted.where("not several").select("id", "th", start.alias("first"), (start + windows - 1 + width).alias("stop"))
+    several = wanted.where("several")
+    text = F.xxhash64("id", "th")
+    n, owner = (F.when(F.min(text) != F.max(text), 2).otherwise(1).cast("long"), F.min(text)) if across else (F.count("*"), F.first("content"))
+    classes = several.groupBy("key", "content").agg(n.alias("n"), owner.alias("owner"), F.min(F.struct("id", "th", "at")).alias("one"))
     sizes = staged(classes, "segment-classes")
-    classes = sizes.join(sizes.groupBy("key").agg(F.count("*").alias("m")), "key").select("one.*", "key", "content", "n", "m")
-    rows = staged(_contents(texts, classes, width), "segment-bytes")
+    classes = sizes.join(sizes.groupBy("key").agg(F.count("*").alias("m")), "key").select("one.*", "key", "content", "n", "m", "owner")
+    rows = _contents(texts, classes, width)
+    discard(sizes)
     runs = _sorted_groups(rows.where(F.col("m") <= most_segments), width).unionByName(_large_groups(rows.where(F.col("m") > most_segments), width, most_segments))
     parts = several.join(runs, ["key", "content"]).select("id", "th", (start + F.col("first")).alias("first"), (start + F.col("stop") - 1 + width).alias("stop"))
-    return whole.unionByName(parts)
+    out = staged(whole.unionByName(parts), "spans")
+    discard(rows)
+    return out
+
+
+def texts_with_runs(keyed: DataFrame, windows: int) -> DataFrame:
+    """(id, th) of the texts in which so many windows, all of keyed segments, stand side by side."""
+    kind = keyed.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(2)
+            at, sizes = own.flatten().to_numpy(), own.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+            first = row << 40 | at >> 24
+            order = np.argsort(first, kind="stable")
+            first, stop = first[order], np.maximum.accumulate(first[order] + (at[order] >> 12 & 4095))
+            fresh = np.flatnonzero(np.append(True, first[1:] > stop[:-1]))
+            long_ = stop[np.append(fresh[1:], len(stop)) - 1] - first[fresh] >= windows
+            rows = pa.array(np.unique(first[fresh][long_] >> 40))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["id", "th"])
+
+    return keyed.groupBy("id", "th").agg(F.collect_list("at").alias("at")).mapInArrow(run, f"id {kind}, th int")
 
 
-def remove_repeats(df: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", most_segments: int = MOST_SEGMENTS) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept binary) of every row.
+def remove_repeats(df: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", most_segments: int = MOST_SEGMENTS, shared_width: int | None = None) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept binary, n_shared) of every row.
 
     Each byte covered by a string of ``width`` bytes that also starts anywhere else, in this text or another, is removed; strings are
     judged on the input. A null text counts as empty; texts below the width keep everything. Of rows that repeat an id each is judged by
-    its own text; equal rows repeat each other. Extra columns are ignored.
+    its own text; equal rows repeat each other. ``n_shared`` counts the bytes, removed or not, covered by strings of ``shared_width`` bytes
+    (at most ``width``, 256 if not given) that also stand in another text; equal rows are one text there. Extra columns are ignored.
     """
-    if not GRAM <= width <= 4000:
-        raise ValueError(f"width must be between {GRAM} and 4000 bytes")
+    shared_width = min(256, width) if shared_width is None else shared_width
+    if not GRAM <= shared_width <= width <= 4000:
+        raise ValueError(f"widths must be between {GRAM} and 4000 bytes, that of shared strings at most the other")
     kind = df.schema[id_col].dataType.simpleString()
     texts = texts_of(df, df[id_col].alias("id"), F.hash(F.coalesce(df[text_col], F.lit(""))).alias("th"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    found = repeated_spans(texts, width, most_segments)
-    by_text = found.groupBy("id", "th").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
+    keyed = keyed_segments(texts, shared_width)
+    shared = repeated_spans(texts, keyed, shared_width, most_segments, across=True)
+    again = staged(texts_with_runs(keyed, width - shared_width + 1), "again")
+    discard(keyed)
+    some = rows_with(texts, ["id", "th"], again)
+    some = staged(some.join(again, some["id"].eqNullSafe(again["id"]) & (some["th"] == again["th"]), "left_semi"), "texts-again")
+    keyed = keyed_segments(some, width)
+    found = repeated_spans(some, keyed, width, most_segments)
+    discard(keyed, some, again)
+    span = F.struct("first", "stop", "gone")
+    both = found.withColumn("gone", F.lit(True)).unionByName(shared.withColumn("gone", F.lit(False)))
+    by_text = both.groupBy("id", "th").agg(F.collect_list(span).alias("spans"))
     joined = texts.join(by_text, (texts["id"].eqNullSafe(by_text["id"])) & (texts["th"] == by_text["th"]), "left").select(texts["id"], "text", "spans")
 
     def run(batches):
@@ -388,16 +462,14 @@ def remove_repeats(df: DataFrame, width: int = 400, id_col: str = "doc_id", text
                 for text, own in zip(part.column(1).to_pylist(), part.column(2)):
                     raw = text.encode()
                     if not own.is_valid or not len(own.values):
-                        rows.append((len(raw), 0, 0, raw))
+                        rows.append((len(raw), 0, 0, raw, 0))
                         continue
-                    first, stop = own.values.field("first").to_numpy(), own.values.field("stop").to_numpy()
-                    order = np.argsort(first, kind="stable")
-                    first, stop = first[order], np.maximum.accumulate(stop[order])
-                    cut = np.flatnonzero(first[1:] > stop[:-1])
-                    begin, end = first[np.append(0, cut + 1)].tolist(), stop[np.append(cut, len(stop) - 1)].tolist()
+                    first, stop, gone = (own.values.field(c).to_numpy(zero_copy_only=False) for c in ("first", "stop", "gone"))
+                    begin, end = merged(first[gone], stop[gone])
                     kept = b"".join([raw[a:b] for a, b in zip([0, *end], [*begin, len(raw)])])
-                    rows.append((len(raw), len(raw) - len(kept), len(begin), kept))
-                n, removed, many, kept = zip(*rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    low, high = merged(first[~gone], stop[~gone])
+                    rows.append((len(raw), len(raw) - len(kept), len(begin), kept, sum(high) - sum(low)))
+                n, removed, many, kept, shared_ = zip(*rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in (n, removed, many)), pa.array(kept, pa.binary()), pa.array(shared_, pa.int64())], ["id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared"])
 
-    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_shared long").withColumnRenamed("id", id_col)

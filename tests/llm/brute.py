@@ -29,6 +29,23 @@ def repeats(texts, width):
     return out
 
 
+def shared(rows, width):
+    """Bytes of each (id, text) that strings cover which also stand in another text; equal rows are one text."""
+    raw = [(k, (t or "").encode()) for k, t in rows]
+    holders = defaultdict(set)
+    for k, b in raw:
+        for i in range(len(b) - width + 1):
+            holders[b[i : i + width]].add((k, b))
+    out = []
+    for _, b in raw:
+        gone = [False] * len(b)
+        for i in range(len(b) - width + 1):
+            if len(holders[b[i : i + width]]) > 1:
+                gone[i : i + width] = [True] * width
+        out.append(sum(gone))
+    return out
+
+
 def shingle_set(text, n):
     words = WORD.findall((text or "").translate(LOWER))
     if not words:

@@ -30,6 +30,30 @@ def test_repeats_are_removed_exactly(spark, most):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], brute.sha(bytes(r["kept"]))) == want
 
 
+@pytest.mark.parametrize("most", [1000, 1])
+@pytest.mark.parametrize("pairwise", [24, 0])
+def test_shared_strings_are_shorter_and_of_other_texts(spark, monkeypatch, most, pairwise):
+    monkeypatch.setattr(sd, "PAIRWISE", pairwise)
+    values = [t for t in data.texts(11, 40) if t is None or len(t) < 2000]
+    values += ["loop " * 40, "p q r s t " * 9 + "end", f"{values[0]} tail"]
+    values += [f"{k} some seventy bytes that two texts, and no others, have in common here {k}" for k in "mn"]
+    got = {r["doc_id"]: r for r in sd.remove_repeats(data.frame(spark, values, True), width=90, shared_width=48, most_segments=most).collect()}
+    rows = [(7 * k + 3, t) for k, t in enumerate(values)]
+    for (k, _), want, shared in zip(rows, brute.repeats(values, 90), brute.shared(rows, 48)):
+        r = got[k]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], brute.sha(bytes(r["kept"])), r["n_shared"]) == (*want, shared)
+    assert any(r["n_shared"] > r["n_removed"] == 0 for r in got.values()) and any(r["n_removed"] > r["n_shared"] == 0 for r in got.values())
+
+
+def test_shared_passages_below_the_removed_width_are_told(spark):
+    passage = " ".join(f"pass{k}" for k in range(51))
+    rows = [(1, "a " + passage + " b"), (2, "c " + passage + " d"), (3, "x" * 399), (3, "x" * 399), (4, "y " * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_removed"], r["n_shared"]) for r in sd.remove_repeats(df).collect())
+    n = len(passage) + 2  # and the spaces about it
+    assert 256 <= n < 400 and got == [(1, 0, n), (2, 0, n), (3, 0, 0), (3, 0, 0), (4, 800, 0)]
+
+
 def test_repeats_of_equal_rows_and_null_ids(spark):
     text = " ".join(str(k) for k in range(60))
     df = spark.createDataFrame([(1, text), (1, text), (None, text + "x"), (2, "short")], "doc_id long, text string")
